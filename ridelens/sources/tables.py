@@ -45,3 +45,30 @@ DIRTY_BOOKINGS_SQL = "SELECT\n  " + ",\n  ".join(DIRTY_BOOKING_EXPRS) + "\nFROM
 def dirty_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All-text booking table (plus the ``seq`` row order) derived from ``events``."""
     return table(spark, sf_dir, "events").selectExpr(*DIRTY_BOOKING_EXPRS)
+
+
+# TPC-H order status as a booking status.
+ORDER_STATUS = {"F": "Completed", "O": "Incomplete", "P": "Cancelled by Customer"}
+
+
+def orders_as_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` in booking terms: one booking per order, the customer key as customer,
+    the priority as vehicle type and the total price as booking value."""
+    from pyspark.sql import functions as F
+    status = F.create_map(*[x for k, v in ORDER_STATUS.items() for x in (F.lit(k), F.lit(v))])
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("booking_id"),
+        F.col("o_custkey").cast("string").alias("customer_id"),
+        F.col("o_orderdate").alias("datetime"),
+        status[F.col("o_orderstatus")].alias("booking_status"),
+        F.col("o_orderpriority").alias("vehicle_type"),
+        F.col("o_totalprice").alias("booking_value"),
+    )
+
+
+ORDERS_AS_BOOKINGS_SQL = """SELECT CAST(o_orderkey AS VARCHAR) AS booking_id, CAST(o_custkey AS VARCHAR) AS customer_id,
+  o_orderdate AS datetime,
+  CASE o_orderstatus WHEN 'F' THEN 'Completed' WHEN 'O' THEN 'Incomplete' WHEN 'P' THEN 'Cancelled by Customer' END
+    AS booking_status,
+  o_orderpriority AS vehicle_type, o_totalprice AS booking_value
+FROM orders"""
