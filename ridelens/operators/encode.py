@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Mapping, Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field, fields
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -155,7 +155,9 @@ def fit_onehot(df: DataFrame, cols: Sequence[str]) -> PipelineModel:
     for c in cols:
         stages.append(StringIndexer(inputCol=c, outputCol=_idx(c), handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCol=_idx(c), outputCol=_ohe(c), dropLast=True, handleInvalid="keep"))
+        # the indexer maps unseen/null to index L (its metadata has L + 1 values); dropLast drops
+        # exactly that slot, so the width is L and unseen rows are all zeros
+        stages.append(OneHotEncoder(inputCol=_idx(c), outputCol=_ohe(c), dropLast=True))
     return Pipeline(stages=stages).fit(df)
 
 
@@ -215,7 +217,7 @@ class Encoder:
 
     def save(self, path: str) -> None:
         """IO8: parameters as JSON next to the saved one-hot ``PipelineModel``."""
-        params = {k: v for k, v in asdict(self).items() if k != "onehot"}
+        params = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "onehot"}
         if self.onehot is not None:
             self.onehot.write().overwrite().save(os.path.join(path, "onehot"))
         spark = _active()
