@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 # Text that counts as missing (compared after trimming, in lower case).
 NULL_TOKENS = ("", "null", "none", "na", "n/a", "nan")
 
-_EDGE_WS = r"(?U)^\s+|\s+$"
+# The characters Python's ``str.strip()`` removes (``str.isspace()``).
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+              "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def snake_name(name: str) -> str:
@@ -31,8 +33,9 @@ def string_columns(df: DataFrame) -> list[str]:
 
 
 def strip_ws(c: Column) -> Column:
-    """Remove leading/trailing whitespace of any kind (``trim`` only removes spaces)."""
-    return F.regexp_replace(c, _EDGE_WS, "")
+    """Remove leading/trailing whitespace of any kind (``trim`` only removes spaces).
+    ``btrim`` with a character set: no regular expression on the hot path."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def null_token(c: Column, tokens: Iterable[str] = NULL_TOKENS) -> Column:

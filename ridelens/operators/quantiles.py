@@ -3,8 +3,9 @@
 ``method="exact"`` never gathers a column into one task:
 
 1. unpivot to ``(name, v)`` and ``groupBy(name, v).count()`` -- hot values collapse map-side;
-2. range-partition the distinct values, tag each row with its partition id and write a
-   reliable checkpoint (the ids must not change on recomputation);
+2. range-partition the distinct values, tag each row with its partition id and persist it.
+   The ids stay fixed even if a cached block is lost: it is recomputed from the cached
+   RDD's own lineage, whose ``RangePartitioner`` (bounds sampled once) is part of it;
 3. per (partition, name) totals -> at most partitions + columns rows, collected;
 4. the driver turns the totals into offsets and finds, for every wanted rank, the partition
    and the local rank that hold it;
@@ -19,10 +20,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelens.session import cut_lineage
 
 
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -45,7 +46,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
         raise ValueError("method must be 'exact' or 'approx'")
 
     counts = _long(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
-    ranked = cut_lineage(counts.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()))
+    ranked = counts.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()).persist(
+        StorageLevel.MEMORY_AND_DISK)
     blocks = ranked.groupBy("pid", "name").agg(F.sum("c").alias("m")).collect()
 
     per_name: dict[str, list[tuple[int, int]]] = {}
@@ -81,6 +83,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
                 .where((F.col("local") >= F.col("cum") - F.col("c")) & (F.col("local") < F.col("cum")))
                 .select("name", "rank", "v").collect())
         found = {(h["name"], h["rank"]): h["v"] for h in hits}
+    ranked.unpersist()
 
     out: dict[str, list[float | None]] = {}
     for c in cols:

@@ -13,6 +13,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -114,17 +115,25 @@ def best_k(evaluation: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------- SG1 / SG2 / SG3 / SG5
 def fit_kmeans(x: DataFrame, k: int, features: str = "features", seed: int = 42, n_init: int = 10,
-               max_iter: int = 300, tol: float = 1e-4, init_steps: int = 2) -> KMeansModel:
+               max_iter: int = 300, tol: float = 1e-4, init_steps: int = 2, parallelism: int = 4) -> KMeansModel:
     """Best of ``n_init`` k-means|| fits (seeds ``seed .. seed + n_init - 1``) by training cost.
-    ``x`` should be persisted: every fit is an iterative job over it."""
-    best = None
-    for i in range(n_init):
+
+    The starts are independent, so up to ``parallelism`` of them run as concurrent Spark jobs
+    (the scheduler shares the executors); ties in cost go to the smaller seed.  ``x`` should be
+    persisted: every fit is an iterative job over it."""
+    def fit(i: int) -> tuple[float, int, KMeansModel]:
         km = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_pred", maxIter=max_iter, tol=tol,
                     initSteps=init_steps)
         model = km.fit(x)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+        return model.summary.trainingCost, i, model
+
+    workers = max(1, min(parallelism, n_init))
+    if workers == 1:
+        results = [fit(i) for i in range(n_init)]
+    else:
+        with ThreadPoolExecutor(max_workers=workers) as pool:
+            results = list(pool.map(fit, range(n_init)))
+    return min(results, key=lambda r: (r[0], r[1]))[2]
 
 
 def renumber_by_size(labelled: DataFrame, pred: str, out: str) -> DataFrame:

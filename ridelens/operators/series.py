@@ -56,7 +56,11 @@ def demand_counts(df: DataFrame, ts: str = "datetime", series: str | None = None
 
 def hourly_demand(df: DataFrame, ts: str = "datetime", series: str | None = None, freq: str = "hour") -> DataFrame:
     """AG6/AG7: count per bucket and series, empty buckets 0, each series over its own min..max."""
-    counts = demand_counts(df, ts, series, freq)
+    return zero_fill(demand_counts(df, ts, series, freq), freq)
+
+
+def zero_fill(counts: DataFrame, freq: str = "hour") -> DataFrame:
+    """Complete ``series, ds, y`` counts to a regular grid per series (missing buckets -> 0)."""
     spans = counts.groupBy(SERIES).agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
     grid = spans.select(SERIES, F.explode(F.expr(f"sequence(lo, hi, {_STEP[freq]})")).alias("ds"))
     return (
