@@ -110,5 +110,6 @@ def profile_lines(profile: DataFrame, segment: str, title: str = "Segment") -> D
     """IO9 helper: profile rows as text lines ``segment, line`` (written with ``write.text``)."""
     line = F.when(F.col("metric") == "n", F.format_string(f"{title} %s size : %d", F.col(segment),
                                                            F.col("value").cast("long"))) \
-        .otherwise(F.format_string("  %s : %s", F.col("metric"), F.col("value").cast("string")))
+        .otherwise(F.format_string("  %s : %s", F.col("metric"),
+                                   F.coalesce(F.col("value").cast("string"), F.lit("nan"))))
     return profile.select(segment, "metric", line.alias("line"))

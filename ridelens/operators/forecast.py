@@ -8,7 +8,8 @@ booking rows never pass through here.  Every model returns
 * FC3 ``forecast_weekly``    value one week earlier if that is a train point, else last value
 * FC4 ``forecast_additive``  linear trend + mean residual per (weekday, hour) slot
 * FC5 ``forecast_additive(log=True)``  FC4 on log1p(y), back with expm1, clipped at 0
-* FC4 Fourier variant lives in ``fourier.py`` (ridge fit from per-series Gram matrices)
+* FC4 / FC5 Fourier variant (``fourier`` / ``fourier_log1p``) lives in ``fourier.py``: trend with
+  changepoints + Fourier seasonality, ridge fit from per-series Gram matrices
 * FC6 ``forecast_future``    next ``horizon`` steps with bounds
 * FC7 status column: a series whose trend cannot be fitted gets null forecasts, the others go on
 * FC8 ``run_forecasts``      union of all models
@@ -183,11 +184,20 @@ def forecast_future(split: DataFrame, horizon: int = 168, value: str = "y", log:
     )
 
 
+def _fourier(log: bool):
+    def run(s, v, f):
+        from ridelens.operators.fourier import forecast_fourier
+        return forecast_fourier(s, v, log=log, freq=f)
+    return run
+
+
 MODELS = {
     "baseline_last": lambda s, v, f: forecast_last(s, v),
     "baseline_weekly": lambda s, v, f: forecast_weekly(s, v, freq=f),
     "additive": lambda s, v, f: forecast_additive(s, v, log=False, freq=f),
     "additive_log1p": lambda s, v, f: forecast_additive(s, v, log=True, freq=f),
+    "fourier": _fourier(False),
+    "fourier_log1p": _fourier(True),
 }
 
 

@@ -239,3 +239,64 @@ FROM fc_last GROUP BY 1, 2""", ["mae", "rmse", "mape"]))
 def q_forecast_metrics_v1(spark, sf_dir):
     """ME1 + ME2 (MAPE with the 1e-6 floor)."""
     return _r6(me.forecast_metrics(fc.forecast_last(_events_split(spark, sf_dir)), version="v1"))
+
+
+_FC_WEEKLY_REC_SQL = """
+fc_weekly_r AS (
+  SELECT t.series, 'baseline_weekly' AS model, t.ds, CAST(t.y AS DOUBLE) AS y,
+         coalesce(CAST(w.y AS DOUBLE), l.last_y) AS y_pred
+  FROM split t
+  LEFT JOIN split w ON w.is_train AND w.series = t.series AND w.pos = t.n_train - 168 + ((t.pos - t.n_train) % 168)
+  LEFT JOIN last l ON t.series = l.series
+  WHERE NOT t.is_train)"""
+
+
+@register("forecast_weekly_recursive", round6(
+    "WITH" + _hourly_sql() + "," + _split_sql() + "," + _LAST_SQL + "," + _FC_WEEKLY_REC_SQL
+    + "\nSELECT * FROM fc_weekly_r", ["y", "y_pred"]))
+def q_forecast_weekly_recursive(spark, sf_dir):
+    """FC3 with ``recursive=True``: the last train week repeats over the whole test part."""
+    return _r6(fc.forecast_weekly(_events_split(spark, sf_dir), recursive=True))
+
+
+@register("forecast_future_train_origin", round6(
+    "WITH" + _hourly_sql() + "," + _split_sql() + "," + _additive_sql("m", True) + """,
+fut AS (SELECT s.series, unnest(generate_series(0, s.n_train + 167)) AS pos, s.t0 FROM stats s),
+futp AS (SELECT series, pos, t0 + pos * INTERVAL 1 HOUR AS ds FROM fut)
+SELECT series, ds, fit AS yhat, lo AS yhat_lower, hi AS yhat_upper FROM ("""
+    + _additive_pred_sql("m", "futp p", True, True) + ") q", ["yhat", "yhat_lower", "yhat_upper"]))
+def q_forecast_future_train(spark, sf_dir):
+    """FC6 with ``origin="train"``: fitted on train, from the first point to 168 h after the train part."""
+    return _r6(fc.forecast_future(_events_split(spark, sf_dir), horizon=168, log=True, origin="train"))
+
+
+_VEHICLE_SQL = ("WITH" + _hourly_sql() + """,
+usable AS (SELECT * FROM hourly WHERE series IN (
+  SELECT series FROM hourly GROUP BY 1 HAVING count(*) >= 50 AND sum(y) <> 0)),
+hourly_l AS (SELECT series, ds, ln(1 + y) AS y FROM usable),""" + _split_sql(src="hourly_l") + "," + _LAST_SQL + ","
+                + _FC_LAST_SQL + "," + _additive_sql("m", False) + """,
+fc_add AS (SELECT series, 'additive' AS model, ds, y, fit AS y_pred FROM ("""
+                + _additive_pred_sql("m", "(SELECT * FROM split WHERE NOT is_train) p", False, False,
+                                     extra="p.series, p.ds, p.y") + """) q),
+fc_v AS (SELECT * FROM fc_last UNION ALL SELECT * FROM fc_add)
+SELECT series, model, count(y_pred) AS n, avg(abs(y - y_pred)) AS mae, sqrt(avg(power(y - y_pred, 2))) AS rmse,
+       avg(abs((y - y_pred) / greatest(y, 1e-6))) * 100 AS mape
+FROM fc_v GROUP BY 1, 2""")
+
+
+@register("vehicle_metrics_log", round6(_VEHICLE_SQL, ["mae", "rmse", "mape"]))
+def q_vehicle_metrics_log(spark, sf_dir):
+    """The per-vehicle job as the reference scores it: usable series (FL8), log1p target (AG8),
+    naive and additive forecasts, metrics on the log scale with the 1e-6 MAPE floor (ME2)."""
+    hourly = se.hourly_demand(table(spark, sf_dir, "events"), ts="ts", series="event_type")
+    split = se.time_split(se.log_demand(se.usable_series(hourly, 50)))
+    fcs = fc.run_forecasts(split, ["baseline_last", "additive"])
+    return _r6(me.forecast_metrics(fcs, version="v1"))
+
+
+@register("forecast_fourier")
+def q_forecast_fourier(spark, sf_dir):
+    """FC4 / FC5 second variant: changepoint trend + Fourier seasonality, ridge fit per series
+    (random-free but solver-specific: rows-only, quality checked in tests)."""
+    split = _events_split(spark, sf_dir)
+    return _r6(fc.run_forecasts(split, ["fourier", "fourier_log1p"]))

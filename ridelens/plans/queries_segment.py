@@ -500,3 +500,67 @@ FROM g, lineitem WHERE l_discount IS NOT NULL GROUP BY gx, h, n""", ["x", "densi
 def q_kde(spark, sf_dir):
     """DI3: Gaussian KDE at 50 points, Scott bandwidth, all rows."""
     return _r6(distribution.kde(table(spark, sf_dir, "lineitem"), "l_discount", 50))
+
+
+# ------------------------------------------------------------------ more operators over the same sources
+@register("demand_by_segment", _TWS_SQL + "," + _hourly_sql(
+    series_expr="customer_segment", where="customer_segment IS NOT NULL", ts="datetime", src="tws", unit="day")
+          + "\nSELECT * FROM hourly")
+def q_demand_by_segment(spark, sf_dir):
+    """AG9: demand series per customer segment (AG7 on the JN1 result; orders are daily)."""
+    return se.hourly_demand(_trips_with_segment(spark, sf_dir), ts="datetime", series="customer_segment", freq="day")
+
+
+@register("hourly_demand_cleaned", _CLEAN_SQL + "," + _hourly_sql(
+    series_expr="vehicle_type", where="vehicle_type IS NOT NULL", ts="datetime", src="rr") + "\nSELECT * FROM hourly")
+def q_hourly_demand_cleaned(spark, sf_dir):
+    """AG7 on the output of the cleaning job, as the reference chains them."""
+    return se.hourly_demand(jobs.clean_bookings(dirty_bookings(spark, sf_dir))[0], series="vehicle_type")
+
+
+# The order priorities of the TPC-H-like ``orders`` table (the pivot's columns).
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("crosstab_wide", _TWS_SQL + f"""
+, cells AS (SELECT customer_segment, vehicle_type AS value, count(*) AS cnt FROM tws
+  WHERE customer_segment IS NOT NULL AND vehicle_type IS NOT NULL GROUP BY 1, 2),
+lng AS (SELECT c.customer_segment, c.value, {_rhe('c.cnt * 100.0 / t.row_total')} AS pct FROM cells c
+  JOIN (SELECT customer_segment, sum(cnt) AS row_total FROM cells GROUP BY 1) t ON c.customer_segment = t.customer_segment)
+SELECT customer_segment, """ + ", ".join(
+    f"coalesce(max(CASE WHEN value = '{v}' THEN pct END), 0.0) AS \"{v}\"" for v in PRIORITIES)
+          + " FROM lng GROUP BY 1")
+def q_crosstab_wide(spark, sf_dir):
+    """AG5 wide: pivot with an explicit value list (no extra job), absent cells 0."""
+    long = customers.crosstab_pct(_trips_with_segment(spark, sf_dir), "customer_segment", "vehicle_type")
+    return customers.crosstab_wide(long, "customer_segment", PRIORITIES)
+
+
+@register("segmentation_filters", round6(_CLEAN_SQL + """
+SELECT booking_id, booking_value, is_completed FROM rr WHERE is_completed = 1 AND booking_value >= 50""",
+                                         ["booking_value"]))
+def q_segmentation_filters(spark, sf_dir):
+    """FL5 + FL6: completed rides with booking value >= 50 (null values drop out)."""
+    df = jobs.clean_bookings(dirty_bookings(spark, sf_dir))[0]
+    return _r6(clean.segmentation_input(df, completed_only=True, min_value=50).select(
+        "booking_id", "booking_value", "is_completed"))
+
+
+@register("trip_segment_summary", _TWS_SQL + "\nSELECT customer_segment, " + ", ".join(
+    f"{_rhe(f'avg({c})')} AS avg_{c}" for c in ("booking_value", "is_weekend", "is_peak", "is_completed"))
+          + " FROM tws GROUP BY 1")
+def q_trip_segment_summary(spark, sf_dir):
+    """AG3 for trips: ``avg_*`` columns per segment."""
+    return customers.segment_summary(_trips_with_segment(spark, sf_dir), "customer_segment",
+                                     ["booking_value", "is_weekend", "is_peak", "is_completed", "fare_per_km"],
+                                     prefix="avg_")
+
+
+@register("profile_lines", _PROFILE_SQL + """
+SELECT customer_segment, metric, CASE WHEN metric = 'n'
+  THEN printf('Segment %s size : %d', customer_segment, CAST(value AS BIGINT))
+  ELSE '  ' || metric || ' : ' || coalesce(CAST(value AS VARCHAR), 'nan') END AS line FROM pl""")
+def q_profile_lines(spark, sf_dir):
+    """IO9: the profile text lines (written with ``files.write_profile``)."""
+    prof = customers.segment_profile(_order_customers(spark, sf_dir), "customer_segment", FEATURES)
+    return customers.profile_lines(prof, "customer_segment")

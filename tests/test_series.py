@@ -81,3 +81,15 @@ def test_recursive_weekly_repeats_last_week(spark):
     train = {r.pos: r.y for r in split.where("is_train").collect()}
     n_train = len(train)
     assert len(out) == 144 and out[100].y_pred == train[n_train - 168 + (100 % 168)]
+
+
+def test_fourier_beats_naive_and_status(spark):
+    from ridelens.operators import fourier
+    split = se.time_split(_seasonal(spark))
+    out = fourier.forecast_fourier(split, log=False)
+    assert {r.status for r in out.select("status").distinct().collect()} == {"ok"}
+    m = {r.model: r.mae for r in me.forecast_metrics(
+        fc.run_forecasts(split, ["baseline_last", "baseline_weekly", "fourier"])).collect()}
+    assert m["fourier"] < m["baseline_weekly"] < m["baseline_last"]
+    lo_hi = out.where("y_lower > y_pred OR y_upper < y_pred").count()
+    assert lo_hi == 0
