@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from ridelens.functions import dates, strings
 from ridelens.operators import clean
+from ridelens.operators import series as se
+from ridelens.session import cut_lineage
 
 
 @dataclass
@@ -71,6 +73,17 @@ def clean_bookings(raw: DataFrame, cast_decision: dict | None = None, quantile_m
     return df, CleanArtifacts(profile, caps, rare)
 
 
+def demand_split(df: DataFrame, ts: str = "datetime", series: str | None = "vehicle_type", freq: str = "hour",
+                 ratio: float = 0.2, materialize: bool = True) -> DataFrame:
+    """Forecast job input: zero-filled series split into train/test.
+
+    The raw rows are read once; the series table (series x hours, small at any input size) is
+    written as a reliable checkpoint so every model, metric and KPI branch reads it instead of
+    re-aggregating the raw table, and a lost executor does not send them back to the raw scan."""
+    split = se.time_split(se.hourly_demand(df, ts=ts, series=series, freq=freq), ratio=ratio, freq=freq)
+    return cut_lineage(split) if materialize else split
+
+
 def cleaned_events(spark, sf_dir: str) -> DataFrame:
     from ridelens.sources.tables import dirty_bookings
     return clean_bookings(dirty_bookings(spark, sf_dir))[0]
@@ -81,4 +94,4 @@ def with_column_order(df: DataFrame, first: list[str]) -> DataFrame:
 
 
 __all__ = ["CleanArtifacts", "prepare_bookings", "impute_bookings", "clean_bookings", "category_columns",
-           "scaled_columns", "cleaned_events", "with_column_order", "F"]
+           "scaled_columns", "demand_split", "cleaned_events", "with_column_order", "F"]
