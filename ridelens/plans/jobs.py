@@ -95,3 +95,125 @@ def with_column_order(df: DataFrame, first: list[str]) -> DataFrame:
 
 __all__ = ["CleanArtifacts", "prepare_bookings", "impute_bookings", "clean_bookings", "category_columns",
            "scaled_columns", "demand_split", "cleaned_events", "with_column_order", "F"]
+
+
+# ------------------------------------------------------------------------------------------
+# End-to-end jobs: each reads its input, runs the plan and writes its outputs.
+# ------------------------------------------------------------------------------------------
+
+def _out(base: str, name: str) -> str:
+    return f"{base.rstrip('/')}/{name}"
+
+
+def run_clean_job(spark, raw_path: str, out_dir: str, fmt: str = "parquet") -> CleanArtifacts:
+    """§3.1: raw CSV (all text) -> cleaned table + fitted encoder + feature names."""
+    import json
+
+    from ridelens.operators import encode
+    from ridelens.sources import files
+
+    raw = files.read_raw(spark, raw_path)
+    cleaned, art = clean_bookings(raw)
+    files.write_table(cleaned, _out(out_dir, "cleaned"), fmt)
+    enc = encode.fit_encoder(cleaned)
+    enc.save(_out(out_dir, "encoder"))
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(enc.feature_names())], "position int, feature string")
+    files.write_json(names.coalesce(1), _out(out_dir, "feature_names"))
+    spark.createDataFrame([(json.dumps(art.cast_profile),)], "profile string").coalesce(1).write.mode(
+        "overwrite").text(_out(out_dir, "cast_profile"))
+    return art
+
+
+def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, completed_only: bool = False,
+                              min_value: float | None = None, seed: int = 42) -> None:
+    """§3.2 trips: encoder -> k-means -> labels, means, crosstabs, centre ranges, PCA, profile."""
+    from ridelens.operators import customers, encode, segment
+    from ridelens.sources import files
+
+    files.require(spark, [_out(clean_dir, "cleaned"), _out(clean_dir, "encoder")], "the clean job")
+    cleaned = files.read_clean(spark, _out(clean_dir, "cleaned"))
+    enc = encode.Encoder.load(_out(clean_dir, "encoder"))
+    labelled, model, enc = segment.segment_trips(cleaned, k, completed_only, min_value, seed, encoder=enc)
+    labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    files.write_table(labelled.drop("features"), _out(out_dir, "segmented_trips"))
+    num = ["booking_value", "ride_distance", "driver_ratings", "customer_rating", "avg_vtat", "avg_ctat", "fare_per_km"]
+    files.write_table(customers.segment_summary(labelled, "trip_segment", num, prefix="avg_"),
+                      _out(out_dir, "cluster_summary_numeric"), "csv")
+    for col in ("vehicle_type", "payment_method", "time_of_day"):
+        if col in labelled.columns:
+            files.write_table(customers.crosstab_pct(labelled, "trip_segment", col), _out(out_dir, f"cluster_{col}"),
+                              "csv")
+    cen = spark.createDataFrame([(int(c), int(d), float(v)) for c, centre in enumerate(model.clusterCenters())
+                                 for d, v in enumerate(centre)], "label int, dim int, value double")
+    files.write_table(segment.centroid_range(cen, "label", 30, enc.feature_names()),
+                      _out(out_dir, "cluster_feature_importance"), "csv")
+    files.write_table(segment.pca_2d(labelled, "features", "trip_segment"), _out(out_dir, "pca_2d"))
+    prof = customers.segment_profile(labelled, "trip_segment", [c for c in num if c in labelled.columns])
+    files.write_profile(customers.profile_lines(prof, "trip_segment", "Cluster"), _out(out_dir, "cluster_profile"),
+                        order=("trip_segment", "metric"))
+    labelled.unpersist()
+
+
+def run_customer_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, seed: int = 42) -> None:
+    """§3.2 customers: features -> impute + scale -> k-means -> join back -> summaries, profile, PCA."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ridelens.operators import customers, segment
+    from ridelens.sources import files
+
+    files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
+    trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
+    cust, _, present = segment.segment_customers(trips, k=k, seed=seed)
+    cust = cust.persist(StorageLevel.MEMORY_AND_DISK)
+    files.write_table(cust, _out(out_dir, "segmented_customers"))
+    files.write_table(customers.trips_with_segment(trips, cust), _out(out_dir, "trips_with_customer_segment"))
+    feats = list(customers.CUSTOMER_FEATURES)
+    files.write_table(customers.segment_summary(cust, "customer_segment", feats),
+                      _out(out_dir, "customer_cluster_summary_numeric"), "csv")
+    prof = customers.segment_profile(cust, "customer_segment", feats)
+    files.write_profile(customers.profile_lines(prof, "customer_segment"), _out(out_dir, "customer_cluster_profile"),
+                        order=("customer_segment", "metric"))
+    vec = VectorAssembler(inputCols=present, outputCol="v", handleInvalid="keep").transform(cust.na.fill(0.0, present))
+    files.write_table(segment.pca_2d(vec, "v", "customer_segment"), _out(out_dir, "customer_pca_2d"))
+    cust.unpersist()
+
+
+def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sample_fraction: float = 0.1,
+                         fast: bool = True) -> None:
+    """§3.2 choice of k: encoder on a sample, inertia + silhouette for k = 2..max_k."""
+    from ridelens.operators import encode, segment
+    from ridelens.sources import files
+
+    files.require(spark, [_out(clean_dir, "cleaned"), _out(clean_dir, "encoder")], "the clean job")
+    cleaned = files.read_clean(spark, _out(clean_dir, "cleaned"))
+    x = encode.Encoder.load(_out(clean_dir, "encoder")).transform(cleaned).select("features")
+    ev = segment.evaluate_k(x, range(2, max_k + 1), fast=fast, sample_fraction=sample_fraction)
+    files.write_table(ev, _out(out_dir, "k_evaluation"), "csv")
+
+
+def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = None, log_target: bool = False,
+                     models=("baseline_last", "baseline_weekly", "additive_log1p", "fourier_log1p"),
+                     metrics_version: str = "v2", horizon: int = 168) -> None:
+    """§3.3: hourly series (global or per ``series``), split, all models, metrics, future.
+
+    ``series=None`` is the global job; ``series="vehicle_type", log_target=True,
+    metrics_version="v1"`` reproduces the per-vehicle job (log scale, 1e-6 MAPE floor)."""
+    from ridelens.operators import forecast as fc
+    from ridelens.operators import metrics as me
+    from ridelens.sources import files
+
+    files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
+    trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
+    hourly = se.hourly_demand(trips, ts="datetime", series=series)
+    if series is not None:
+        hourly = se.usable_series(hourly, 50)
+    if log_target:
+        hourly = se.log_demand(hourly)
+    split = cut_lineage(se.time_split(se.drop_null_target(hourly)))
+    files.write_by_series(split.select(se.SERIES, "ds", "y"), _out(out_dir, "hourly"))
+    forecasts = fc.run_forecasts(split, models)
+    files.write_by_series(forecasts, _out(out_dir, "forecasts"))
+    metrics = me.forecast_metrics(forecasts, version=metrics_version)
+    files.write_table(metrics, _out(out_dir, "metrics"), "csv")
+    files.write_json(metrics, _out(out_dir, "metrics_json"))
+    files.write_by_series(fc.forecast_future(split, horizon=horizon, log=not log_target), _out(out_dir, "future"))
