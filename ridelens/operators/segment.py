@@ -201,13 +201,18 @@ def evaluate_k(x: DataFrame, ks: Sequence[int] = range(2, 9), features: str = "f
 # ---------------------------------------------------------------------------- SG8
 def pca_2d(df: DataFrame, vec: str, label: str | None = None) -> DataFrame:
     """SG8: centred 2-D PCA coordinates (``pc1, pc2``), sign fixed so the largest loading is positive.
-    Means are d numbers; ``ml.PCA`` aggregates a d x d matrix."""
-    arr = F.col(vec).cast("array<double>") if dict(df.dtypes)[vec].startswith("array") else vector_to_array(vec)
-    base = df.withColumn("_a", arr)
-    d = base.select(F.size("_a").alias("d")).first()["d"]
-    means = base.agg(*[F.avg(F.element_at("_a", i + 1)).alias(f"m{i}") for i in range(d)]).first()
+
+    The mean vector comes from one ``Summarizer`` aggregate (d numbers, whatever the width);
+    ``ml.PCA`` aggregates a d x d covariance.  Spark's PCA does not centre on transform, so the
+    vectors are centred first."""
+    from pyspark.ml.stat import Summarizer
+
+    is_array = dict(df.dtypes)[vec].startswith("array")
+    v = array_to_vector(F.col(vec).cast("array<double>")) if is_array else F.col(vec)
+    base = df.withColumn("_v", v)
+    mean = base.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
     centred = base.withColumn("_c", array_to_vector(F.zip_with(
-        F.col("_a"), F.array(*[F.lit(float(means[f"m{i}"])) for i in range(d)]), lambda a, b: a - b)))
+        vector_to_array("_v"), F.array(*[F.lit(float(x)) for x in mean]), lambda a, b: a - b)))
     model = PCA(k=2, inputCol="_c", outputCol="_pc").fit(centred)
     pc = model.pc.toArray()
     signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
