@@ -115,7 +115,7 @@ def best_k(evaluation: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------- SG1 / SG2 / SG3 / SG5
 def fit_kmeans(x: DataFrame, k: int, features: str = "features", seed: int = 42, n_init: int = 10,
-               max_iter: int = 300, tol: float = 1e-4, init_steps: int = 2, parallelism: int = 4) -> KMeansModel:
+               max_iter: int = 300, tol: float = 1e-4, init_steps: int = 2, parallelism: int = 8) -> KMeansModel:
     """Best of ``n_init`` k-means|| fits (seeds ``seed .. seed + n_init - 1``) by training cost.
 
     The starts are independent, so up to ``parallelism`` of them run as concurrent Spark jobs
