@@ -12,6 +12,11 @@
 5. a running count within each partition (one range partition per window group) finds the
    values at those ranks: at most ``2 * len(probs) * len(cols)`` rows are collected.
 
+Fast path with a size check: if the distinct ``(name, v, count)`` rows number at most
+``small_limit`` (ratings, quantities, two-decimal prices ...), they are fetched with
+``limit(small_limit + 1)`` and the ranks are read on the driver; beyond the limit the
+distributed path above runs on the same persisted counts.
+
 ``method="approx"`` uses ``percentile_approx`` (bounded sketch, one aggregate).
 """
 
@@ -32,8 +37,32 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
+SMALL_LIMIT = 100_000
+
+
+def _interpolate(values: list[tuple[float, int]], probs: Sequence[float]) -> list[float]:
+    """Linear-interpolated quantiles from sorted (value, count) pairs."""
+    n = sum(c for _, c in values)
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        lo, hi = math.floor(h), math.ceil(h)
+        picked = {}
+        acc = 0
+        for v, c in values:
+            for r in (lo, hi):
+                if r not in picked and acc <= r < acc + c:
+                    picked[r] = v
+            acc += c
+            if len(picked) == len({lo, hi}):
+                break
+        a, b = picked[lo], picked[hi]
+        out.append(a + (b - a) * (h - lo))
+    return out
+
+
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact",
-              accuracy: int = 100_000) -> dict[str, list[float | None]]:
+              accuracy: int = 100_000, small_limit: int = SMALL_LIMIT) -> dict[str, list[float | None]]:
     """``{col: [q(p) for p in probs]}``; a column without values gives ``None``s."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
@@ -45,7 +74,16 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     if method != "exact":
         raise ValueError("method must be 'exact' or 'approx'")
 
-    counts = _long(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    counts = _long(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    small = counts.limit(small_limit + 1).collect() if small_limit > 0 else None
+    if small is not None and len(small) <= small_limit:
+        counts.unpersist()
+        by_name: dict[str, list[tuple[float, int]]] = {}
+        for r in small:
+            by_name.setdefault(r["name"], []).append((r["v"], r["c"]))
+        return {c: (_interpolate(sorted(by_name[c]), probs) if c in by_name else [None] * len(probs)) for c in cols}
+
     ranked = counts.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()).persist(
         StorageLevel.MEMORY_AND_DISK)
     blocks = ranked.groupBy("pid", "name").agg(F.sum("c").alias("m")).collect()
@@ -84,6 +122,7 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
                 .select("name", "rank", "v").collect())
         found = {(h["name"], h["rank"]): h["v"] for h in hits}
     ranked.unpersist()
+    counts.unpersist()
 
     out: dict[str, list[float | None]] = {}
     for c in cols:
