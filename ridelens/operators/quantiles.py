@@ -12,10 +12,10 @@
 5. a running count within each partition (one range partition per window group) finds the
    values at those ranks: at most ``2 * len(probs) * len(cols)`` rows are collected.
 
-Fast path with a size check: if the distinct ``(name, v, count)`` rows number at most
-``small_limit`` (ratings, quantities, two-decimal prices ...), they are fetched with
-``limit(small_limit + 1)`` and the ranks are read on the driver; beyond the limit the
-distributed path above runs on the same persisted counts.
+Fast path with a size check, per column: one small job counts the distinct values of every
+column; columns with at most ``small_limit`` of them (ratings, quantities, flags ...) have
+their ``(v, count)`` pairs fetched and ranked on the driver, the others take the distributed
+path above on the same persisted counts.
 
 ``method="approx"`` uses ``percentile_approx`` (bounded sketch, one aggregate).
 """
@@ -37,7 +37,7 @@ def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-SMALL_LIMIT = 100_000
+SMALL_LIMIT = 20_000
 
 
 def _interpolate(values: list[tuple[float, int]], probs: Sequence[float]) -> list[float]:
@@ -76,15 +76,21 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
 
     counts = _long(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c")).persist(
         StorageLevel.MEMORY_AND_DISK)
-    small = counts.limit(small_limit + 1).collect() if small_limit > 0 else None
-    if small is not None and len(small) <= small_limit:
-        counts.unpersist()
+    sizes = {r["name"]: r["k"] for r in counts.groupBy("name").agg(F.count(F.lit(1)).alias("k")).collect()}
+    small_names = [c for c in cols if c in sizes and sizes[c] <= small_limit]
+    big_names = [c for c in cols if c in sizes and sizes[c] > small_limit]
+    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols if c not in sizes}
+    if small_names:
         by_name: dict[str, list[tuple[float, int]]] = {}
-        for r in small:
+        for r in counts.where(F.col("name").isin(small_names)).collect():  # <= small_limit rows per column
             by_name.setdefault(r["name"], []).append((r["v"], r["c"]))
-        return {c: (_interpolate(sorted(by_name[c]), probs) if c in by_name else [None] * len(probs)) for c in cols}
+        result.update({c: _interpolate(sorted(by_name[c]), probs) for c in small_names})
+    if not big_names:
+        counts.unpersist()
+        return {c: result[c] for c in cols}
+    counts_big = counts.where(F.col("name").isin(big_names))
 
-    ranked = counts.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()).persist(
+    ranked = counts_big.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()).persist(
         StorageLevel.MEMORY_AND_DISK)
     blocks = ranked.groupBy("pid", "name").agg(F.sum("c").alias("m")).collect()
 
@@ -124,17 +130,14 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     ranked.unpersist()
     counts.unpersist()
 
-    out: dict[str, list[float | None]] = {}
-    for c in cols:
-        if c not in plan:
-            out[c] = [None] * len(probs)
-            continue
+    out: dict[str, list[float | None]] = dict(result)
+    for c in big_names:
         vals = []
         for h, lo, hi in plan[c]:
             a, b = found[(c, lo)], found[(c, hi)]
             vals.append(a + (b - a) * (h - lo))
         out[c] = vals
-    return out
+    return {c: out[c] for c in cols}
 
 
 def median(df: DataFrame, cols: Sequence[str], method: str = "exact") -> dict[str, float | None]:

@@ -35,7 +35,7 @@ def test_exact_quantiles_match_pandas(spark):
     assert capped[:4] == pytest.approx([1.03, 2.0, 3.0, 9.79]) and capped[4] is None
 
 
-@pytest.mark.parametrize("small_limit", [0, 100_000])
+@pytest.mark.parametrize("small_limit", [0, 100, 100_000])
 def test_quantiles_many_partitions(spark, small_limit):
     import numpy as np
     df = spark.range(0, 5000).select((F.col("id") * 37 % 1001).cast("double").alias("x"),
