@@ -31,7 +31,9 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) a fresh scratch folder is created and set.
+    Only when the session has none and runs in local mode (tests, a laptop) a fresh scratch
+    folder is created and set; on a cluster a machine-local folder would not survive a lost
+    executor, so the setting is required there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +41,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster session")
     path = tempfile.mkdtemp(prefix="ridelens-ckpt-", dir=os.environ.get("RIDELENS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path
