@@ -5,14 +5,14 @@ Scale notes
 * The raw rows are touched once: ``groupBy(series, bucket).count()`` with map-side partial
   aggregation, so a category holding a third of all rows is combined per map task before the
   shuffle.  Everything after that is series x hours (a year of hours is 8,760 rows per series).
-* The grid is generated from per-series min/max with ``sequence`` + ``explode`` and joined to
-  the counts on ``(series, ds)``; both sides are small and AQE picks the join strategy.
+* The grid is filled in one pass over the counts: ``lead(ds)`` per series and ``sequence`` +
+  ``explode`` for the empty steps between non-empty buckets (no join back, one raw scan).
 * Positions come from arithmetic on the regular grid, never from an unpartitioned window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SERIES = "series"
@@ -60,13 +60,22 @@ def hourly_demand(df: DataFrame, ts: str = "datetime", series: str | None = None
 
 
 def zero_fill(counts: DataFrame, freq: str = "hour") -> DataFrame:
-    """Complete ``series, ds, y`` counts to a regular grid per series (missing buckets -> 0)."""
-    spans = counts.groupBy(SERIES).agg(F.min("ds").alias("lo"), F.max("ds").alias("hi"))
-    grid = spans.select(SERIES, F.explode(F.expr(f"sequence(lo, hi, {_STEP[freq]})")).alias("ds"))
-    return (
-        grid.join(counts, [SERIES, "ds"], "left")
-        .select(SERIES, "ds", F.coalesce(F.col("y"), F.lit(0)).cast("long").alias("y"))
-    )
+    """Complete ``series, ds, y`` counts to a regular grid per series (missing buckets -> 0).
+
+    One pass over the (small) counts: ``lead(ds)`` per series finds the next non-empty bucket
+    and every bucket emits itself plus a zero row for each empty step up to it.  No join back
+    to the counts, so the raw table under them is scanned once; the window holds one series'
+    non-empty buckets (bounded by its time span, not by the raw rows)."""
+    step = F.expr(_STEP[freq])
+    nxt = F.lead("ds").over(Window.partitionBy(SERIES).orderBy("ds"))
+    gap = F.when(F.col("_next") > F.col("ds") + step,
+                 F.sequence(F.col("ds") + step, F.col("_next") - step, step))
+    zeros = F.transform(F.coalesce(gap, F.array().cast("array<timestamp_ntz>")),
+                        lambda t: F.struct(t.alias("ds"), F.lit(0).cast("long").alias("y")))
+    points = F.concat(F.array(F.struct(F.col("ds"), F.col("y").cast("long").alias("y"))), zeros)
+    return (counts.withColumn("_next", nxt)
+            .select(SERIES, F.explode(points).alias("p"))
+            .select(SERIES, "p.ds", "p.y"))
 
 
 def log_demand(series_df: DataFrame, col: str = "y") -> DataFrame:
