@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -183,7 +184,7 @@ def fit_rare(df: DataFrame, fracs: Mapping[str, float]) -> dict[str, dict]:
         return {}
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in cols])
     counts = df.select(F.explode(pairs).alias("kv")).select("kv.*").groupBy("name", "value").agg(
-        F.count(F.lit(1)).alias("c"))
+        F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)  # read twice below
     totals = counts.groupBy("name").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("value").isNotNull(), F.col("c"))).alias("nn"))
     limit = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(float(fracs[c])))])
     kept = (counts.join(F.broadcast(totals), "name")
@@ -211,6 +212,7 @@ def fit_rare(df: DataFrame, fracs: Mapping[str, float]) -> dict[str, dict]:
         if covered[c] < totals_by.get(c, 0):
             info["has_rare"] = True
         info["frequent"].sort()
+    counts.unpersist()
     return fitted
 
 

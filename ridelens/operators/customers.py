@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.operators.clean import is_numeric, parse_number
@@ -86,9 +86,8 @@ def crosstab_pct(df: DataFrame, segment: str, col: str, digits: int = 2) -> Data
     """
     rows = df.where(F.col(segment).isNotNull() & F.col(col).isNotNull())
     cells = rows.groupBy(segment, F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("cnt"))
-    totals = cells.groupBy(segment).agg(F.sum("cnt").alias("row_total"))
-    return (cells.join(totals, segment)
-            .select(segment, "value", round_half_even(F.col("cnt") * 100.0 / F.col("row_total"), digits).alias("pct")))
+    row_total = F.sum("cnt").over(Window.partitionBy(segment))  # one segment's categories per group
+    return cells.select(segment, "value", round_half_even(F.col("cnt") * 100.0 / row_total, digits).alias("pct"))
 
 
 def crosstab_wide(long: DataFrame, segment: str, values: Sequence[str]) -> DataFrame:

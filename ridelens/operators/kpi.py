@@ -85,8 +85,8 @@ def rank_series(metrics: DataFrame, model: str) -> DataFrame:
 def tail(series_df: DataFrame, n: int = 20, freq: str = "hour", by: Sequence[str] = (SERIES,)) -> DataFrame:
     """KP9: last ``n`` points of each series.  Series frames are regular grids, so this is a
     filter against the per-series end, not a window over each series."""
-    ends = series_df.groupBy(*by).agg(F.max("ds").alias("_end"))
-    return (series_df.join(ends, list(by))
+    end = F.max("ds").over(Window.partitionBy(*by))
+    return (series_df.withColumn("_end", end)
             .where(F.col("ds") > add_steps("_end", str(-n), freq)).drop("_end"))
 
 

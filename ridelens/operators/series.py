@@ -94,28 +94,24 @@ def series_keys(df: DataFrame, col: str) -> DataFrame:
 
 
 def usable_series(series_df: DataFrame, min_points: int = 50, col: str = "y") -> DataFrame:
-    """FL8: keep series that have at least ``min_points`` points and a non-zero sum."""
-    ok = (
-        series_df.groupBy(SERIES)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(col).alias("total"))
-        .where((F.col("n") >= min_points) & (F.col("total") != 0))
-        .select(SERIES)
-    )
-    return series_df.join(ok, SERIES, "left_semi")
+    """FL8: keep series that have at least ``min_points`` points and a non-zero sum.
+    Per-series window (one pass; a series is its time grid, bounded by its span)."""
+    w = Window.partitionBy(SERIES)
+    return (series_df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_t", F.sum(col).over(w))
+            .where((F.col("_n") >= min_points) & (F.col("_t") != 0)).drop("_n", "_t"))
 
 
 def time_split(series_df: DataFrame, ratio: float = 0.2, freq: str = "hour") -> DataFrame:
     """FC1: the last ``int(n * ratio)`` points of each series are test.
 
     Adds ``t0`` (first point), ``pos`` (steps since ``t0``), ``n``, ``n_train`` and ``is_train``.
-    The grid is regular, so the position is arithmetic; no global sort.
+    The grid is regular, so the position is arithmetic; per-series window aggregates (no join
+    back to the input, which would re-read the raw table under it), no global sort.
     """
-    stats = series_df.groupBy(SERIES).agg(F.min("ds").alias("t0"), F.count(F.lit(1)).alias("n"))
-    stats = stats.withColumn(
-        "n_train", F.col("n") - F.floor(F.col("n").cast("double") * F.lit(float(ratio))).cast("long")
-    )
+    w = Window.partitionBy(SERIES)
     return (
-        series_df.join(stats, SERIES)
+        series_df.withColumn("t0", F.min("ds").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+        .withColumn("n_train", F.col("n") - F.floor(F.col("n").cast("double") * F.lit(float(ratio))).cast("long"))
         .withColumn("pos", steps_between("t0", "ds", freq).cast("long"))
         .withColumn("is_train", F.col("pos") < F.col("n_train"))
     )
