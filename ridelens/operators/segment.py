@@ -31,10 +31,32 @@ def _sqdist(vec: Column, centre: Sequence[float]) -> Column:
     return F.aggregate(F.zip_with(vec, lit, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _as_vector(df: DataFrame, vec: str):
+    return (array_to_vector(F.col(vec).cast("array<double>")) if dict(df.dtypes)[vec].startswith("array")
+            else F.col(vec))
+
+
+def cluster_stats(df: DataFrame, vec: str, label: str) -> list:
+    """Per label: count, sum of squared norms and the vector sum -- one grouped aggregate
+    (``Summarizer``), no expansion of rows into dimensions; k rows come back."""
+    from pyspark.ml.stat import Summarizer
+
+    v = _as_vector(df, vec)
+    arr = vector_to_array(v)
+    return (df.select(F.col(label).alias("_l"), v.alias("_v"),
+                      F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x).alias("_q"))
+            .groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q"),
+                               Summarizer.sum(F.col("_v")).alias("s"))
+            .collect())
+
+
 def centres_from_labels(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """Mean vector per label in long form ``label, dim, value`` (k x d rows)."""
-    return (df.select(label, F.posexplode(F.col(vec)).alias("dim", "x"))
-            .groupBy(label, "dim").agg(F.avg(F.col("x").cast("double")).alias("value")))
+    """Mean vector per label in long form ``label, dim, value`` (k x d rows).  The means come
+    from one grouped ``Summarizer`` aggregate; only its k result rows are exploded."""
+    from pyspark.ml.stat import Summarizer
+
+    means = df.groupBy(label).agg(Summarizer.mean(_as_vector(df, vec)).alias("_m"))
+    return means.select(label, F.posexplode(vector_to_array("_m")).alias("dim", "value"))
 
 
 def collect_centres(long: DataFrame, label: str) -> dict[int, list[float]]:
@@ -70,12 +92,9 @@ def silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
     For a point x: d(x, C) = |x|^2 + Q_C / N_C - 2 x . S_C / N_C; its own cluster is rescaled by
     N / (N - 1) to leave the point out; single-point clusters score 0.
     """
-    v = F.col(vec).cast("array<double>")
-    pts = df.select(F.col(label).alias("_l"), v.alias("_v"))
-    norms = pts.select("_l", F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x).alias("_q"))
-    stats = norms.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.sum("_q").alias("q")).collect()
-    sums = collect_centres(
-        pts.select("_l", F.posexplode("_v").alias("dim", "x")).groupBy("_l", "dim").agg(F.sum("x").alias("value")), "_l")
+    v = F.col(vec).cast("array<double>") if dict(df.dtypes)[vec].startswith("array") else vector_to_array(vec)
+    stats = cluster_stats(df, vec, label)
+    sums = {r["_l"]: r["s"].toArray().tolist() for r in stats}
     if len(stats) < 2:
         return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
     info = {r["_l"]: (r["n"], r["q"]) for r in stats}
@@ -95,14 +114,10 @@ def silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 def labelled_cost(df: DataFrame, vec: str, label: str) -> float:
     """Inertia of given labels: sum of squared distances to the label means
-    = sum |x|^2 - sum_C |S_C|^2 / N_C (k x d sums come back, never the rows)."""
-    v = F.col(vec).cast("array<double>")
-    pts = df.select(F.col(label).alias("_l"), v.alias("_v"))
-    total = pts.agg(F.sum(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)).alias("q")).first()["q"]
-    per = (pts.select("_l", F.posexplode("_v").alias("dim", "x")).groupBy("_l", "dim")
-           .agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-           .groupBy("_l").agg(F.sum(F.col("s") * F.col("s")).alias("ss"), F.max("n").alias("n")).collect())
-    return float(total - sum(r["ss"] / r["n"] for r in per))
+    = sum |x|^2 - sum_C |S_C|^2 / N_C (k rows of sums come back, never the rows)."""
+    stats = cluster_stats(df, vec, label)
+    total = sum(r["q"] for r in stats)
+    return float(total - sum(float(r["s"].dot(r["s"])) / r["n"] for r in stats))
 
 
 def best_k(evaluation: DataFrame) -> DataFrame:
