@@ -18,6 +18,19 @@ from pyspark.sql.streaming import StreamingQuery
 from ridelens.operators.series import SERIES, zero_fill
 from ridelens.session import checkpoint_dir
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def ntz_to_instant(col: str) -> F.Column:
+    """Wall-clock ``timestamp_ntz`` -> the instant with that wall-clock in UTC (watermarks need
+    ``timestamp``); epoch arithmetic, so independent of the session time zone."""
+    return F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {_EPOCH}, {col}))")
+
+
+def instant_to_ntz(col: str) -> F.Column:
+    """Inverse of ``ntz_to_instant``."""
+    return F.expr(f"timestampadd(MICROSECOND, unix_micros({col}), {_EPOCH})")
+
 
 def hourly_counts_stream(spark: SparkSession, source: str, schema: T.StructType, ts: str = "datetime",
                          series: str | None = "vehicle_type", watermark: str = "2 hours",
@@ -27,10 +40,10 @@ def hourly_counts_stream(spark: SparkSession, source: str, schema: T.StructType,
     key = F.lit("all") if series is None else F.col(series).cast("string")
     if series is not None:
         rows = rows.where(F.col(series).isNotNull())
-    rows = rows.select(key.alias(SERIES), F.col(ts).cast("timestamp").alias("_t"))
+    rows = rows.select(key.alias(SERIES), ntz_to_instant(ts).alias("_t"))
     return (rows.withWatermark("_t", watermark)
             .groupBy(SERIES, F.window("_t", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("y"))
-            .select(SERIES, F.col("w.start").cast("timestamp_ntz").alias("ds"), "y"))
+            .select(SERIES, instant_to_ntz("w.start").alias("ds"), "y"))
 
 
 def start_hourly_counts(counts: DataFrame, path: str, name: str = "hourly_counts",
