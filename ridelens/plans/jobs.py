@@ -193,7 +193,8 @@ def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sa
 
 def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = None, log_target: bool = False,
                      models=("baseline_last", "baseline_weekly", "additive_log1p", "fourier_log1p"),
-                     metrics_version: str = "v2", horizon: int = 168) -> None:
+                     metrics_version: str = "v2", horizon: int = 168, freq: str = "hour",
+                     ts: str = "datetime") -> None:
     """§3.3: hourly series (global or per ``series``), split, all models, metrics, future.
 
     ``series=None`` is the global job; ``series="vehicle_type", log_target=True,
@@ -204,16 +205,17 @@ def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = N
 
     files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
     trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
-    hourly = se.hourly_demand(trips, ts="datetime", series=series)
+    hourly = se.hourly_demand(trips, ts=ts, series=series, freq=freq)
     if series is not None:
         hourly = se.usable_series(hourly, 50)
     if log_target:
         hourly = se.log_demand(hourly)
-    split = cut_lineage(se.time_split(se.drop_null_target(hourly)))
+    split = cut_lineage(se.time_split(se.drop_null_target(hourly), freq=freq))
     files.write_by_series(split.select(se.SERIES, "ds", "y"), _out(out_dir, "hourly"))
-    forecasts = fc.run_forecasts(split, models)
+    forecasts = fc.run_forecasts(split, models, freq=freq)
     files.write_by_series(forecasts, _out(out_dir, "forecasts"))
     metrics = me.forecast_metrics(forecasts, version=metrics_version)
     files.write_table(metrics, _out(out_dir, "metrics"), "csv")
     files.write_json(metrics, _out(out_dir, "metrics_json"))
-    files.write_by_series(fc.forecast_future(split, horizon=horizon, log=not log_target), _out(out_dir, "future"))
+    files.write_by_series(fc.forecast_future(split, horizon=horizon, log=not log_target, freq=freq),
+                          _out(out_dir, "future"))
