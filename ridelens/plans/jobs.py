@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ridelens.functions import dates, strings
 from ridelens.operators import clean
@@ -84,17 +83,6 @@ def demand_split(df: DataFrame, ts: str = "datetime", series: str | None = "vehi
     return cut_lineage(split) if materialize else split
 
 
-def cleaned_events(spark, sf_dir: str) -> DataFrame:
-    from ridelens.sources.tables import dirty_bookings
-    return clean_bookings(dirty_bookings(spark, sf_dir))[0]
-
-
-def with_column_order(df: DataFrame, first: list[str]) -> DataFrame:
-    return df.select(*[c for c in first if c in df.columns], *[c for c in df.columns if c not in first])
-
-
-__all__ = ["CleanArtifacts", "prepare_bookings", "impute_bookings", "clean_bookings", "category_columns",
-           "scaled_columns", "demand_split", "cleaned_events", "with_column_order", "F"]
 
 
 # ------------------------------------------------------------------------------------------
@@ -219,3 +207,8 @@ def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = N
     files.write_json(metrics, _out(out_dir, "metrics_json"))
     files.write_by_series(fc.forecast_future(split, horizon=horizon, log=not log_target, freq=freq),
                           _out(out_dir, "future"))
+
+
+__all__ = ["CleanArtifacts", "prepare_bookings", "impute_bookings", "clean_bookings", "category_columns",
+           "scaled_columns", "demand_split", "run_clean_job", "run_trip_segmentation_job",
+           "run_customer_segmentation_job", "run_k_evaluation_job", "run_forecast_job"]

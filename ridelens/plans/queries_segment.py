@@ -140,7 +140,6 @@ def q_crosstab(spark, sf_dir):
     return customers.crosstab_pct(_trips_with_segment(spark, sf_dir), "customer_segment", "vehicle_type")
 
 
-_PROFILE_METRICS = ["n"] + [f"avg_{c}" for c in FEATURES]
 _PROFILE_SQL = (_OB_CUST_SQL + ",\npw AS (SELECT customer_segment, CAST(count(*) AS DOUBLE) AS n, "
                 + ", ".join(f"{_rhe(f'avg({c})')} AS {c}" for c in FEATURES) + " FROM cs GROUP BY 1),\n"
                 "pl AS (" + "\nUNION ALL ".join(

@@ -7,7 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ridelens.functions.strings import slug
 
@@ -71,10 +70,3 @@ def write_profile(lines: DataFrame, path: str, order: Iterable[str] = ("segment"
     """IO9: profile lines as text (sorted; the set is k x metrics lines, so one file)."""
     cols = [c for c in order if c in lines.columns]
     lines.orderBy(*cols).select("line").coalesce(1).write.mode("overwrite").text(path)
-
-
-def exists_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
