@@ -90,7 +90,15 @@ def crosstab_pct(df: DataFrame, segment: str, col: str, digits: int = 2) -> Data
     return cells.select(segment, "value", round_half_even(F.col("cnt") * 100.0 / row_total, digits).alias("pct"))
 
 
-def crosstab_wide(long: DataFrame, segment: str, values: Sequence[str]) -> DataFrame:
+def crosstab_wide(long: DataFrame, segment: str, values: Sequence[str] | None = None,
+                  max_values: int = 1000) -> DataFrame:
+    """AG5 wide: one column per category, absent cells 0.  Without ``values`` the categories are
+    read with a size check (at most ``max_values``; beyond that the long form is the answer)."""
+    if values is None:
+        found = [r[0] for r in long.select("value").distinct().limit(max_values + 1).collect()]
+        if len(found) > max_values:
+            raise ValueError(f"more than {max_values} categories: use the long form of crosstab_pct")
+        values = sorted(found)
     return long.groupBy(segment).pivot("value", list(values)).agg(F.first("pct")).na.fill(0.0)
 
 

@@ -101,3 +101,12 @@ def test_onehot_width_and_unseen(spark):
     vecs = [r["c__ohe"] for r in model.transform(test).collect()]
     assert [v.size for v in vecs] == [2, 2, 2]
     assert list(vecs[0].toArray()) == [1.0, 0.0] and vecs[1].numNonzeros() == 0 and vecs[2].numNonzeros() == 0
+
+
+def test_crosstab_wide_values_found(spark):
+    df = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b")], "seg int, c string")
+    wide = customers.crosstab_wide(customers.crosstab_pct(df, "seg", "c"), "seg")
+    rows = {r.seg: (r.a, r.b) for r in wide.collect()}
+    assert rows == {0: (50.0, 50.0), 1: (0.0, 100.0)}
+    with pytest.raises(ValueError):
+        customers.crosstab_wide(customers.crosstab_pct(df, "seg", "c"), "seg", max_values=1)
