@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ridelens.functions import dates, strings
 from ridelens.operators import clean
@@ -26,15 +27,21 @@ class CleanArtifacts:
 
 def prepare_bookings(raw: DataFrame, order_col: str = "seq") -> DataFrame:
     """Cleaning up to the first data-dependent step: names, null tokens, quotes, datetime,
-    calendar features, dedup on booking_id (first in ``order_col`` order) and status flags."""
+    calendar features, dedup on booking_id (first in ``order_col`` order) and status flags.
+
+    Every step but the dedup is a function of the row's own values, so the dedup runs first,
+    keyed on the *normalised* booking id: the result is the same as in the reference's order,
+    the aggregate carries the raw text, and the string and date work runs after the shuffle on
+    the surviving rows, spread over the shuffle partitions instead of the scan's."""
     df = strings.snake_columns(raw)
+    if "booking_id" in df.columns:
+        key = F.regexp_replace(strings.null_token(F.col("booking_id")), '^"|"$', "")
+        order = [order_col] if order_col in df.columns else [c for c in df.columns if c != "booking_id"]
+        df = clean.dedup(df.withColumn("_bid", key), ["_bid"], order).drop("_bid")
     df = strings.normalize_nulls(df)
     df = strings.strip_quotes(df)
     df = dates.parse_datetime(df)
     df = dates.calendar_features(df)
-    if "booking_id" in df.columns:
-        order = [order_col] if order_col in df.columns else [c for c in df.columns if c != "booking_id"]
-        df = clean.dedup(df, ["booking_id"], order)
     if order_col in df.columns:
         df = df.drop(order_col)
     return clean.status_flags(df)
