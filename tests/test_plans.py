@@ -63,3 +63,25 @@ def test_forecast_plan_reads_materialized_split(spark):
     from ridelens.operators import forecast as fc
     plan = _plan(fc.run_forecasts(split), "formatted")
     assert "events.parquet" not in plan
+
+
+def test_hot_key_results_and_partial_aggregation(spark):
+    """One customer (and one null id) holding a third of the rows: results stay whole and the
+    aggregates combine map-side before the shuffle."""
+    from pyspark.sql import functions as F
+
+    from ridelens.operators import customers
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("c"), (F.col("id") % 97).cast("string")))
+        .alias("customer_id"),
+        F.when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id").cast("string")).alias("booking_id"),
+        (F.col("id") % 2).cast("int").alias("is_completed"), F.lit(0).alias("is_incomplete"),
+        F.lit(0).alias("is_cancelled"), F.col("id").cast("double").alias("booking_value"), F.col("id").alias("seq"))
+    feats = customers.customer_features(df)
+    hot = feats.where("customer_id = 'HOT'").first()
+    assert hot.total_trips == n // 3 and hot.completed_trips == n // 6
+    assert "partial_count" in _plan(feats, "formatted")
+    dd = clean.dedup(df, ["booking_id"], ["seq"])
+    assert dd.count() == n - n // 3 + 1  # all null ids collapse to one row, the smallest seq
+    assert dd.where("booking_id IS NULL").first().seq == 1
