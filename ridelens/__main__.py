@@ -4,7 +4,7 @@
     python -m ridelens segment-trips CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens segment-customers CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8]
-    python -m ridelens forecast-global CLEAN_DIR OUT_DIR
+    python -m ridelens forecast-global CLEAN_DIR OUT_DIR [--metrics v1|v2] [--models a,b,...]
     python -m ridelens forecast-vehicle CLEAN_DIR OUT_DIR
 
 On a cluster the session comes from ``spark-submit``; locally a ``local[*]`` session is made.
@@ -29,6 +29,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--max-k", type=int, default=8)
     p.add_argument("--completed-only", action="store_true")
     p.add_argument("--min-value", type=float, default=None)
+    p.add_argument("--metrics", choices=["v1", "v2"], default=None,
+                   help="v2: MAPE over y > 0 + sMAPE (global default); v1: MAPE with the 1e-6 floor")
+    p.add_argument("--models", default=None,
+                   help="comma list of baseline_last, baseline_weekly, additive, additive_log1p, fourier, fourier_log1p")
     a = p.parse_args(argv)
     spark = SparkSession.getActiveSession()
     if spark is None:
@@ -44,10 +48,13 @@ def main(argv: list[str] | None = None) -> None:
     elif a.job == "evaluate-k":
         jobs.run_k_evaluation_job(spark, a.src, a.out, max_k=a.max_k)
     elif a.job == "forecast-global":
-        jobs.run_forecast_job(spark, a.src, a.out)
+        models = tuple(a.models.split(",")) if a.models else ("baseline_last", "baseline_weekly", "additive_log1p",
+                                                              "fourier_log1p")
+        jobs.run_forecast_job(spark, a.src, a.out, models=models, metrics_version=a.metrics or "v2")
     else:
-        jobs.run_forecast_job(spark, a.src, a.out, series="vehicle_type", log_target=True,
-                              models=("baseline_last", "additive", "fourier"), metrics_version="v1")
+        models = tuple(a.models.split(",")) if a.models else ("baseline_last", "additive", "fourier")
+        jobs.run_forecast_job(spark, a.src, a.out, series="vehicle_type", log_target=True, models=models,
+                              metrics_version=a.metrics or "v1")
 
 
 if __name__ == "__main__":
