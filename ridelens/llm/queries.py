@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelens.llm.lm import context_tree_scores
 from ridelens.llm.mixing import mix_sources
+from ridelens.llm.ngram_join import ngram_jaccard_join
 from ridelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +33,8 @@ def op2_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_weighted_fair_queueing")
 def op6_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("copies")
+
+
+@register("op9_ngram_jaccard_join")
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
