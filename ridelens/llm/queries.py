@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ridelens.llm.lm import context_tree_scores
 from ridelens.llm.mixing import mix_sources
 from ridelens.llm.ngram_join import ngram_jaccard_join
+from ridelens.llm.substring import substring_dedup
 from ridelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +39,8 @@ def op6_weighted_fair_queueing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_ngram_jaccard_join")
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@register("op3_seed_and_extend")
+def op3_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
