@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.llm.lm import context_tree_scores
+from ridelens.llm.license_scan import scan_licenses
 from ridelens.llm.mixing import mix_sources
 from ridelens.llm.ngram_join import ngram_jaccard_join
+from ridelens.llm.quality import classify_quality
 from ridelens.llm.substring import substring_dedup
 from ridelens.sources.tables import table
 
@@ -44,3 +46,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_seed_and_extend")
 def op3_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@register("op7_fourier_quality")
+def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op10_license_similarity_join")
+def op10_license_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
