@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelens.llm.lm import context_tree_scores
+from ridelens.llm.ann import nearest_neighbours
 from ridelens.llm.license_scan import scan_licenses
 from ridelens.llm.mixing import mix_sources
 from ridelens.llm.ngram_join import ngram_jaccard_join
 from ridelens.llm.quality import classify_quality
 from ridelens.llm.substring import substring_dedup
+from ridelens.llm.warc import warc_round_trip
 from ridelens.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +58,23 @@ def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_license_similarity_join")
 def op10_license_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("blocks")
+
+
+@register("op8_projected_kd_tree")
+def op8_projected_kd_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f"""
+
+
+@register("op4_gzip_normaliser", OP4_SQL)
+def op4_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(table(spark, sf_dir, "pages"))
