@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridelens.llm.lm import context_tree_scores
 from ridelens.llm.ann import nearest_neighbours
+from ridelens.llm.decontaminate import contaminated
 from ridelens.llm.license_scan import scan_licenses
 from ridelens.llm.mixing import mix_sources
 from ridelens.llm.ngram_join import ngram_jaccard_join
@@ -78,3 +79,8 @@ FROM f"""
 @register("op4_gzip_normaliser", OP4_SQL)
 def op4_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(table(spark, sf_dir, "pages"))
+
+
+@register("op5_latent_semantic_retrieval")
+def op5_latent_semantic_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
