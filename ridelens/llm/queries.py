@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ridelens.llm.line_dedup import line_dedup_report
 from ridelens.llm.lm import context_tree_scores
 from ridelens.llm.ann import nearest_neighbours
 from ridelens.llm.decontaminate import contaminated
@@ -84,3 +85,8 @@ def op4_gzip_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_latent_semantic_retrieval")
 def op5_latent_semantic_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op1_minhash_lines")
+def op1_minhash_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup_report(table(spark, sf_dir, "documents"))
