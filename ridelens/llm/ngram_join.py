@@ -7,9 +7,10 @@ needs these columns only; it is computed in blocks of columns (Spark partitions
 overlaps are summed per pair and pairs that cannot reach the size-derived bound are dropped.
 
 A column with many documents is not multiplied out.  First each document meets the column's first
-document and its neighbour; what is verified is joined to components.  Then, per column, only
-pairs across components are left, and only rows outside the column's largest component
-are paired.  Documents of one component need no further pair, so no link is lost.
+document and its neighbour; what is verified is joined to components.  In large columns,
+neighbours in several other orders follow, only across components.  What is then left are
+pairs across components, and only rows outside the column's largest component are paired.
+Documents of one component need no further pair, so no link is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ridelens.llm.graph import components, may_contain, membership
@@ -28,6 +29,8 @@ from ridelens.session import cut_lineage
 #: At most so many of the heaviest n-grams are put last; this only orders columns.
 HEAVY_KEYS = 1 << 16
 HEAVY_COUNT = 32
+#: Columns of more rows are first searched in this many rounds of this many orders.
+LARGE_COLUMN, ROUNDS, ORDERS = 8, 2, 8
 PART = 4 << 20
 
 
@@ -182,17 +185,66 @@ def _links(percent: int):
     return run, "a long, b long"
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of set ids that reach the threshold on their whole sets."""
-    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    ids = cut_lineage(ids.join(classes, F.col("a") == F.col("set_id")).select(F.col("a").alias("id"), F.col("doc_id").alias("doc")))
-    run, schema = _fetch(n, membership(ids, F.col("doc")))
-    sets = docs.mapInArrow(run, schema).join(ids, ["id", "doc"]).dropDuplicates(["id"]).select("id", "grams")
-    sets = cut_lineage(sets)
-    one = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
-    two = one.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
-    run, schema = _links(percent)
-    return cut_lineage(two.select("a", "b", "grams_a", "grams_b").mapInArrow(run, schema))
+class _Verifier:
+    """Checks pairs of set ids on their whole sets.  Sets are read from the texts once and kept."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, n: int, percent: int):
+        self.docs, self.classes, self.n, self.percent = docs, classes, n, percent
+        self.sets: DataFrame | None = None
+
+    def _fetch(self, pairs: DataFrame) -> None:
+        ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select(F.col("id").alias("a")), "a", "left_anti")
+        ids = cut_lineage(ids.join(self.classes, F.col("a") == F.col("set_id")).select(F.col("a").alias("id"), F.col("doc_id").alias("doc")))
+        if ids.isEmpty():
+            return
+        run, schema = _fetch(self.n, membership(ids, F.col("doc")))
+        new = cut_lineage(self.docs.mapInArrow(run, schema).join(ids, ["id", "doc"]).dropDuplicates(["id"]).select("id", "grams"))
+        self.sets = new if self.sets is None else self.sets.unionByName(new)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs ``a, b`` that reach the threshold."""
+        self._fetch(pairs)
+        if self.sets is None:
+            return pairs
+        one = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
+        two = one.join(self.sets.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
+        run, schema = _links(self.percent)
+        return cut_lineage(two.select("a", "b", "grams_a", "grams_b").mapInArrow(run, schema))
+
+
+def _mixed(columns: DataFrame, parts: DataFrame) -> DataFrame:
+    """``token, set_id, comp, top, rows``: rows of columns that hold several components, with the column's
+    largest component and its number of rows."""
+    placed = columns.select("token", "set_id").join(parts, F.col("set_id") == F.col("node"), "left").select(
+        "token", "set_id", F.coalesce("component", "set_id").alias("comp"))
+    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("rows"))
+    top = sizes.groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("rows").alias("rows"))
+    top = top.where("comps > 1").select("token", F.col("top.comp").alias("top"), "rows")
+    return cut_lineage(placed.join(top, "token"))
+
+
+def _pairs(left: str, right: str):
+    return F.greatest(left, right).alias("a"), F.least(left, right).alias("b")
+
+
+def _neighbours(mixed: DataFrame, first_order: int) -> DataFrame:
+    """Neighbours across components in ``ORDERS`` seeded orders of each large column, with their count."""
+    rows = mixed.where(F.col("rows") > LARGE_COLUMN).withColumn("order", F.explode(F.sequence(
+        F.lit(first_order), F.lit(first_order + ORDERS - 1))))
+    order = Window.partitionBy("token", "order").orderBy(F.xxhash64("set_id", "order"))
+    near = rows.select("set_id", "comp", F.lag("set_id").over(order).alias("other"), F.lag("comp").over(order).alias("other_comp"))
+    return near.where("comp <> other_comp").groupBy(*_pairs("set_id", "other")).agg(F.count("*").alias("overlap"))
+
+
+def _across(mixed: DataFrame) -> DataFrame:
+    """All pairs across components that a column holds, with their number of shared columns."""
+    left = mixed.where("comp <> top").select("token", F.col("set_id").alias("x"), F.col("comp").alias("comp_x"))
+    right = mixed.select("token", F.col("set_id").alias("y"), F.col("comp").alias("comp_y"), "top")
+    across = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & (
+        (F.col("comp_y") == F.col("top")) | (F.col("x") > F.col("y"))))
+    return across.groupBy(*_pairs("x", "y")).agg(F.count("*").alias("overlap"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, share: float) -> DataFrame:
@@ -235,27 +287,23 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, heavy_key
     columns = cut_lineage(columns)
 
     near = columns.select("set_id", F.explode(F.array_distinct(F.array("first", "before"))).alias("other")).where("set_id <> other")
-    star = near.groupBy(F.greatest("set_id", "other").alias("a"), F.least("set_id", "other").alias("b")).agg(F.count("*").alias("overlap"))
-    first_pairs = cut_lineage(_plausible(star, classes, percent, 0.5))
-    links = _verified(known, classes, first_pairs, n, percent)
+    star = near.groupBy(*_pairs("set_id", "other")).agg(F.count("*").alias("overlap"))
+    verifier = _Verifier(known, classes, n, percent)
+    tried = cut_lineage(_plausible(star, classes, percent, 0.5))
+    links = verifier.links(tried)
     parts = cut_lineage(components(links))
-
-    # pairs across components: rows outside a column's largest component against all its rows
-    comp = F.coalesce("component", "set_id")
-    placed = columns.select("token", "set_id").join(parts, F.col("set_id") == F.col("node"), "left").select(
-        "token", "set_id", comp.alias("comp"))
-    sizes = placed.groupBy("token", "comp").agg(F.count("*").alias("rows"))
-    top = sizes.groupBy("token").agg(F.max(F.struct("rows", "comp")).alias("top"), F.count("*").alias("comps")).where(
-        "comps > 1").select("token", F.col("top.comp").alias("top"))
-    mixed = cut_lineage(placed.join(top, "token"))
-    left = mixed.where("comp <> top").select("token", F.col("set_id").alias("a"), F.col("comp").alias("comp_a"))
-    right = mixed.select("token", F.col("set_id").alias("b"), F.col("comp").alias("comp_b"), F.col("top").alias("top_b"))
-    across = left.join(right, "token").where((F.col("comp_a") != F.col("comp_b")) & (
-        (F.col("comp_b") == F.col("top_b")) | (F.col("a") > F.col("b"))))
-    across = across.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.count("*").alias("overlap"))
-    second_pairs = cut_lineage(_plausible(across, classes, percent, 1.0).join(first_pairs, ["a", "b"], "left_anti"))
-    if not second_pairs.isEmpty():
-        links = links.unionByName(_verified(known, classes, second_pairs, n, percent))
+    mixed = _mixed(columns, parts)
+    for turn in range(ROUNDS):
+        pairs = cut_lineage(_plausible(_neighbours(mixed, turn * ORDERS), classes, percent, 0.25).join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(verifier.links(pairs))
+        parts = cut_lineage(components(links))
+        mixed = _mixed(columns, parts)
+    pairs = cut_lineage(_plausible(_across(mixed), classes, percent, 1.0).join(tried, ["a", "b"], "left_anti"))
+    if not pairs.isEmpty():
+        links = links.unionByName(verifier.links(pairs))
     same = members.where("doc_id is not null and set_id is not null").select("doc_id", "set_id").join(
         classes.select("set_id", F.col("doc_id").alias("low")), "set_id").where("doc_id <> low").select(
         F.col("doc_id").alias("a"), F.col("low").alias("b"))
