@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ridelens.llm.words import LOWER, hash_words, pieces, word_hashes
 
-PART = 4 << 20
+PART = 2 << 20
 
 # Separators are all ASCII bytes but letters and digits; A-Z is lower-cased.
 NORMAL = LOWER.copy()

@@ -31,7 +31,7 @@ HEAVY_KEYS = 1 << 16
 HEAVY_COUNT = 32
 #: Columns of more rows are first searched in this many rounds of this many orders.
 LARGE_COLUMN, ROUNDS, ORDERS = 8, 2, 8
-PART = 4 << 20
+PART = 2 << 20
 
 
 def ngram_sets(column: pa.Array, n: int) -> list[np.ndarray]:

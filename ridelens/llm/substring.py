@@ -25,7 +25,7 @@ from ridelens.llm.words import inside_text, mix, pieces, runs, word_hashes
 from ridelens.session import cut_lineage
 
 WIN_BYTES = 5
-PART = 4 << 20
+PART = 2 << 20
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id sorts after all others
 
 _SPAN = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int32()), ("start", pa.int64()),
@@ -70,7 +70,7 @@ def _occurrences(length: int, seed: int):
             if not len(start):
                 continue
             row = np.searchsorted(offsets, start, "right") - 1
-            doc = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+            doc = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[row]
             key = part.column("text_key").to_numpy()[row]
             at = start - offsets[row]
             first = np.cumsum(count) - count
@@ -84,6 +84,8 @@ def _occurrences(length: int, seed: int):
                     known[i] = True
             if len(seen) > 1 << 20:  # bounded memory: whatever is not settled here is settled by its anchor
                 seen = {}
+            # what is settled needs no meeting, so it is spread over all partitions
+            anchor = np.where(known, mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), anchor)
             short = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES]
             sent = np.repeat(~known, count)
             data = np.ascontiguousarray(short[sent]).ravel()
@@ -91,7 +93,7 @@ def _occurrences(length: int, seed: int):
             offs = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             spans = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offs.tobytes()), pa.py_buffer(data.tobytes())])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(key.astype(np.int32)), pa.array(at.astype(np.int64)),
+                [pa.array(anchor.view(np.int64)), pa.array(doc), pa.array(key.astype(np.int32)), pa.array(at.astype(np.int64)),
                  pa.array(count.astype(np.int32)), spans], schema=_SPAN)
     return run
 
