@@ -10,6 +10,7 @@ from ridelens.session import cut_lineage
 
 #: Bits of the membership filter: its size is fixed, whatever the number of keys.
 FILTER_BITS = 26
+EDGES_PER_TASK = 50_000
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
-        e = cut_lineage(small.where("u <> v").distinct())
+        # a small edge table needs few tasks in the next round; there are never more edges than before
+        e = cut_lineage(small.where("u <> v").distinct().coalesce(max(1, state[0] // EDGES_PER_TASK)))
         now = _state(e)
         if now == state:
             break

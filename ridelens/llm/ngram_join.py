@@ -30,7 +30,7 @@ from ridelens.session import cut_lineage
 HEAVY_KEYS = 1 << 16
 HEAVY_COUNT = 32
 #: Columns of more rows are first searched in this many rounds of this many orders.
-LARGE_COLUMN, ROUNDS, ORDERS = 8, 2, 8
+LARGE_COLUMN, ROUNDS, ORDERS = 8, 1, 8
 PART = 2 << 20
 
 
