@@ -66,8 +66,8 @@ class ProjectedTree:
         ids, scores, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while at < len(order):
             if len(ids) == k:
-                far = 2 - 2 * scores[-1]
-                if reach[order[at]] > 0 and (far <= 0 or chi_square_cdf(reach[order[at]] / far, len(p)) >= sure):
+                far = max(2 - 2 * scores[-1], 1e-12)  # equal vectors differ by rounding only
+                if chi_square_cdf(reach[order[at]] / far, len(p)) >= sure:
                     break
             rows = np.concatenate([self.leaves[i] for i in order[at:at + step]])
             rows = rows[self.ids[rows] != query_id]
