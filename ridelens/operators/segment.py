@@ -189,27 +189,26 @@ def segment_trips(df: DataFrame, k: int = 3, completed_only: bool = False, min_v
     return labelled, model, enc
 
 
-def sample_for_evaluation(x: DataFrame, fraction: float = 0.1, min_rows: int = 5000, seed: int = 42) -> DataFrame:
-    """SG3's sampling step (the feature itself): a ``fraction`` sample above ``min_rows`` rows."""
-    if fraction is None or not (0 < fraction < 1) or x.count() <= min_rows:
-        return x
-    return x.sample(False, fraction, seed)
+def sample_for_evaluation(x: DataFrame, fraction: float | None = None, seed: int = 42) -> DataFrame:
+    """SG3's sampling step, only where a ``fraction`` is asked for; all rows otherwise, however many."""
+    return x if fraction is None or not 0 < fraction < 1 else x.sample(False, fraction, seed)
 
 
 def evaluate_k(x: DataFrame, ks: Sequence[int] = range(2, 9), features: str = "features", seed: int = 42,
-               n_init: int = 10, fast: bool = False, sample_fraction: float | None = 0.1) -> DataFrame:
+               n_init: int = 10, fast: bool = False, sample_fraction: float | None = None) -> DataFrame:
     """SG3 / SG5: inertia (training cost) and silhouette per k.  ``fast=True`` (the reference's
-    mini-batch option) uses 3 starts and 20 iterations.  Result: ``k, inertia, silhouette``."""
-    x = sample_for_evaluation(x, sample_fraction or 1.0, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
+    mini-batch option) uses 20 iterations and as many starts.  Result: ``k, inertia, silhouette``."""
+    x = sample_for_evaluation(x, sample_fraction, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
     rows = []
     for k in ks:
-        model = fit_kmeans(x, k, features, seed, 3 if fast else n_init, max_iter=20 if fast else 300)
+        model = fit_kmeans(x, k, features, seed, n_init, max_iter=20 if fast else 300)
         lab = model.transform(x).withColumn("_arr", vector_to_array(features))
         try:
             sil = silhouette(lab, "_arr", "_pred").first()["silhouette"]
         except Exception:  # noqa: BLE001 - a failed silhouette is reported as null
             sil = None
         rows.append((int(k), float(model.summary.trainingCost), sil))
+    x.unpersist()
     return x.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 

@@ -173,7 +173,7 @@ def run_customer_segmentation_job(spark, clean_dir: str, out_dir: str, k: int =
     cust.unpersist()
 
 
-def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sample_fraction: float = 0.1,
+def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sample_fraction: float | None = None,
                          fast: bool = True) -> None:
     """§3.2 choice of k: encoder on a sample, inertia + silhouette for k = 2..max_k."""
     from ridelens.operators import encode, segment
@@ -212,7 +212,9 @@ def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = N
     metrics = me.forecast_metrics(forecasts, version=metrics_version)
     files.write_table(metrics, _out(out_dir, "metrics"), "csv")
     files.write_json(metrics, _out(out_dir, "metrics_json"))
-    files.write_by_series(fc.forecast_future(split, horizon=horizon, log=not log_target, freq=freq),
+    # the future is in orders: a log series goes back to orders, and the model takes its logarithm itself
+    orders = split.withColumn("y", F.expm1("y")) if log_target else split
+    files.write_by_series(fc.forecast_future(orders, horizon=horizon, log=True, freq=freq),
                           _out(out_dir, "future"))
 
 
