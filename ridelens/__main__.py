@@ -3,7 +3,7 @@
     python -m ridelens clean RAW_CSV OUT_DIR
     python -m ridelens segment-trips CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens segment-customers CLEAN_DIR OUT_DIR [--k 3]
-    python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8]
+    python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8] [--completed-only] [--min-value X]
     python -m ridelens forecast-global CLEAN_DIR OUT_DIR [--metrics v1|v2] [--models a,b,...]
     python -m ridelens forecast-vehicle CLEAN_DIR OUT_DIR
 
@@ -46,7 +46,8 @@ def main(argv: list[str] | None = None) -> None:
     elif a.job == "segment-customers":
         jobs.run_customer_segmentation_job(spark, a.src, a.out, k=a.k)
     elif a.job == "evaluate-k":
-        jobs.run_k_evaluation_job(spark, a.src, a.out, max_k=a.max_k)
+        jobs.run_k_evaluation_job(spark, a.src, a.out, max_k=a.max_k, completed_only=a.completed_only,
+                                  min_value=a.min_value)
     elif a.job == "forecast-global":
         models = tuple(a.models.split(",")) if a.models else ("baseline_last", "baseline_weekly", "additive_log1p",
                                                               "fourier_log1p")

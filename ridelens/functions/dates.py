@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,24 @@ from pyspark.sql import functions as F
 PEAK_HOURS = (7, 8, 9, 17, 18, 19, 20)
 WEEKEND_DAYS = (5, 6)
 
+#: Spellings of a booking time that are tried, in this order, where the ISO form does not fit.
+FORMATS = ("yyyy-MM-dd hh:mm:ss a", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy hh:mm:ss a", "dd-MM-yyyy HH:mm:ss", "dd/MM/yyyy HH:mm",
+           "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a", "dd/MM/yyyy", "MM/dd/yyyy")
+
+
+def parse_text(text: Column, formats: Sequence[str] = FORMATS) -> Column:
+    """Text as timestamp_ntz: ISO, else the first of ``formats`` that fits, else null.  Read as UTC and
+    taken apart as UTC, so the session time zone plays no part."""
+    origin = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    others = [F.timestamp_add("MICROSECOND", F.unix_micros(F.try_to_timestamp(F.concat(text, F.lit("Z")), F.lit(f + "X"))), origin)
+              for f in formats]
+    return F.coalesce(text.try_cast("timestamp_ntz"), *others)
+
 
-def parse_datetime(df: DataFrame, date: str = "date", time: str = "time", out: str = "datetime") -> DataFrame:
+def parse_datetime(df: DataFrame, date: str = "date", time: str = "time", out: str = "datetime",
+                   formats: Sequence[str] = FORMATS) -> DataFrame:
     """DT1: ``date + ' ' + time`` (or ``date`` alone) as timestamp_ntz; bad or partial -> null.
+    Besides ISO text it reads ``formats``; of day and month the day comes first where both orders fit.
 
     The source columns are dropped.  Without a date column the result is all null.
     """
@@ -19,9 +36,9 @@ def parse_datetime(df: DataFrame, date: str = "date", time: str = "time", out: s
     if date in cols and time in cols:
         text = F.when(F.col(date).isNotNull() & F.col(time).isNotNull(),
                       F.concat(F.col(date), F.lit(" "), F.col(time)))
-        return df.withColumn(out, text.try_cast("timestamp_ntz")).drop(date, time)
+        return df.withColumn(out, parse_text(text, formats)).drop(date, time)
     if date in cols:
-        return df.withColumn(out, F.col(date).try_cast("timestamp_ntz")).drop(date)
+        return df.withColumn(out, parse_text(F.col(date), formats)).drop(date)
     return df.withColumn(out, F.lit(None).cast("timestamp_ntz"))
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,8 +19,8 @@ WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u
 
 def snake_name(name: str) -> str:
     """ST1 for one name: trimmed, lower case, punctuation removed, whitespace runs -> ``_``."""
-    kept = re.sub(r"[^\w\s]", "", name.strip().lower())
-    return re.sub(r"\s+", "_", kept)
+    kept = (ch for ch in name.strip().lower() if ch == "_" or ch.isalnum() or ch.isspace())
+    return "".join("_" if blank else "".join(run) for blank, run in groupby(kept, str.isspace))
 
 
 def snake_columns(df: DataFrame) -> DataFrame:
@@ -67,11 +67,6 @@ def strip_quotes(df: DataFrame, cols: Iterable[str] = ("booking_id", "customer_i
     return df.withColumns({c: F.regexp_replace(F.col(c), '^"|"$', "") for c in present})
 
 
-def decimal_comma(df: DataFrame, cols: Iterable[str]) -> DataFrame:
-    """ST4: every ``,`` becomes ``.``."""
-    return df.withColumns({c: F.replace(F.col(c), F.lit(","), F.lit(".")) for c in cols if c in df.columns})
-
-
 def slug(c: Column) -> Column:
     """ST5: lower case, every character that is not a letter or digit -> ``_``."""
     return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "_")

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridelens.operators.clean import is_numeric, parse_number
 
@@ -62,8 +63,15 @@ def customer_features(df: DataFrame, key: str = "customer_id") -> DataFrame:
 def trips_with_segment(trips: DataFrame, customers: DataFrame, key: str = "customer_id",
                        segment: str = "customer_segment") -> DataFrame:
     """JN1: left equi-join; trips without a customer keep a null segment.  AQE picks broadcast
-    or sort-merge from runtime sizes (the customer side grows with the data, so no fixed hint)."""
-    return trips.join(customers.select(key, segment).where(F.col(key).isNotNull()), key, "left")
+    or sort-merge from runtime sizes (the customer side grows with the data, so no fixed hint)
+    and splits the partition of a customer with very many trips.  Trips without a customer are
+    dealt by a hash of the row, so they do not meet in one partition."""
+    ids = customers.select(F.col(key).cast(trips.schema[key].dataType).cast("string").alias("_customer"), segment)
+    hashed = [f.name for f in trips.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    spread = F.concat(F.lit("null "), F.xxhash64(*hashed).cast("string"))
+    keyed = trips.withColumn("_trip", F.coalesce(F.col(key).cast("string"), spread))
+    found = keyed.join(ids.where("_customer is not null"), (F.col("_trip") == F.col("_customer")) & F.col(key).isNotNull(), "left")
+    return found.select(key, *[c for c in trips.columns if c != key], segment)
 
 
 def segment_summary(df: DataFrame, segment: str, cols: Sequence[str], prefix: str = "", digits: int = 2) -> DataFrame:
@@ -92,31 +100,30 @@ def crosstab_pct(df: DataFrame, segment: str, col: str, digits: int = 2) -> Data
 
 def crosstab_wide(long: DataFrame, segment: str, values: Sequence[str] | None = None,
                   max_values: int = 1000) -> DataFrame:
-    """AG5 wide: one column per category, absent cells 0.  Without ``values`` the categories are
-    read with a size check (at most ``max_values``; beyond that the long form is the answer)."""
-    if values is None:
-        found = [r[0] for r in long.select("value").distinct().limit(max_values + 1).collect()]
-        if len(found) > max_values:
-            raise ValueError(f"more than {max_values} categories: use the long form of crosstab_pct")
-        values = sorted(found)
+    """AG5 wide: one column per category, absent cells 0.  ``values`` come first, also where absent, all
+    others follow in order.  Beyond ``max_values`` columns the long form is the answer (an error, nothing is cut)."""
+    found = [r[0] for r in long.select("value").distinct().limit(max_values + 1).collect()]
+    if len(found) > max_values:
+        raise ValueError(f"more than {max_values} categories: use the long form of crosstab_pct")
+    values = [*(values or []), *sorted(set(found) - set(values or []))]
     return long.groupBy(segment).pivot("value", list(values)).agg(F.first("pct")).na.fill(0.0)
 
 
 def segment_profile(df: DataFrame, segment: str, cols: Sequence[str], digits: int = 2) -> DataFrame:
     """SG9: size and rounded means per segment in one aggregate, unpivoted to
-    ``segment, metric, value`` (the lines of the profile text)."""
+    ``segment, line_no, metric, value`` (the lines of the profile text, the size first)."""
     present = [c for c in cols if c in df.columns]
     wide = df.groupBy(segment).agg(F.count(F.lit(1)).cast("double").alias("n"),
                                    *[round_half_even(F.avg(_number(df, c)), digits).alias(c) for c in present])
     pairs = F.array(F.struct(F.lit("n").alias("metric"), F.col("n").alias("value")),
                     *[F.struct(F.lit(f"avg_{c}").alias("metric"), F.col(c).alias("value")) for c in present])
-    return wide.select(segment, F.explode(pairs).alias("p")).select(segment, "p.metric", "p.value")
+    return wide.select(segment, F.posexplode(pairs).alias("line_no", "p")).select(segment, "line_no", "p.metric", "p.value")
 
 
 def profile_lines(profile: DataFrame, segment: str, title: str = "Segment") -> DataFrame:
-    """IO9 helper: profile rows as text lines ``segment, line`` (written with ``write.text``)."""
+    """IO9 helper: profile rows as text lines ``segment, line_no, metric, line`` (written with ``write.text``)."""
     line = F.when(F.col("metric") == "n", F.format_string(f"{title} %s size : %d", F.col(segment),
                                                            F.col("value").cast("long"))) \
         .otherwise(F.format_string("  %s : %s", F.col("metric"),
                                    F.coalesce(F.col("value").cast("string"), F.lit("nan"))))
-    return profile.select(segment, "metric", line.alias("line"))
+    return profile.select(segment, "line_no", "metric", line.alias("line"))

@@ -40,14 +40,16 @@ def _range(df: DataFrame, col: str) -> tuple[float | None, float | None]:
 
 def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
     """DI2: equal-width bins between min and max (two numbers come back first);
-    ``bin`` 1..bins, the maximum falls into the last bin."""
+    ``bin`` 1..bins, empty ones with ``n`` 0; the maximum falls into the last bin."""
     lo, hi = _range(df, col)
     x = F.col(col).cast("double")
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
     width = (hi - lo) / bins if hi > lo else 1.0
     b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)) + 1, F.lit(bins)).cast("int")
-    return (df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
+    return (every.join(counts, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
             .select("bin", (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("lo"),
                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("hi"), "n"))
 

@@ -149,6 +149,15 @@ def _ohe(c: str) -> str:
     return f"{c}__ohe"
 
 
+def _cat(c: str) -> str:
+    return f"c__{c}"
+
+
+def _filled_categories(df: DataFrame, cols: Sequence[str], modes: Mapping[str, object]) -> DataFrame:
+    """Helper columns with the categories, nulls replaced by the most frequent one."""
+    return df.withColumns({_cat(c): F.coalesce(F.col(c), F.lit(modes[c])) for c in cols})
+
+
 def fit_onehot(df: DataFrame, cols: Sequence[str]) -> PipelineModel:
     """FE6: categories sorted, unseen and null -> all zeros, width = number of categories."""
     stages = []
@@ -202,18 +211,26 @@ class Encoder:
                 + list(self.passthrough))
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        x = apply_fill(df, self.medians)
-        x = apply_scale(x, self.robust)
-        x = apply_fill(x, self.modes_cat)
-        x = apply_fill(x, self.modes_pass)
+        """``df`` with the vector column; it is built from helper columns, so all input columns stay as they are."""
+        x = df.withColumns({f"s__{c}": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.scaled}
+                           | {f"p__{c}": F.coalesce(F.col(c).cast("double"), F.lit(float(self.modes_pass[c])))
+                              for c in self.passthrough})
+        x = _filled_categories(x, self.categorical, self.modes_cat)
+        x = apply_scale(x, {f"s__{c}": p for c, p in self.robust.items()})
+        cats = [_cat(c) for c in self.categorical]
         if self.onehot is not None:
             x = self.onehot.transform(x)
-        x = x.withColumns({**{f"s__{c}": F.col(c).cast("double") for c in self.scaled},
-                           **{f"p__{c}": F.col(c).cast("double") for c in self.passthrough}})
-        inputs = ([f"s__{c}" for c in self.scaled] + [_ohe(c) for c in self.categorical]
-                  + [f"p__{c}" for c in self.passthrough])
+        inputs = [f"s__{c}" for c in self.scaled] + [_ohe(c) for c in cats] + [f"p__{c}" for c in self.passthrough]
         vec = VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(x)
-        return vec.drop(*inputs, *[_idx(c) for c in self.categorical])
+        return vec.drop(*inputs, *cats, *[_idx(c) for c in cats])
+
+    def transform_long(self, df: DataFrame, key: str) -> DataFrame:
+        """FE8 check form: ``key, feature, value`` for every scaled and passthrough column and the dummy that is set."""
+        names = F.array(*[F.lit(n) for n in self.feature_names()])
+        numeric = {*self.scaled, *self.passthrough}
+        cells = self.transform(df).select(key, F.posexplode(vector_to_array("features")).alias("at", "value"))
+        cells = cells.select(key, F.element_at(names, F.col("at") + 1).alias("feature"), "value")
+        return cells.where(F.col("feature").isin(list(numeric)) | (F.col("value") != 0))
 
     def save(self, path: str) -> None:
         """IO8: parameters as JSON next to the saved one-hot ``PipelineModel``."""
@@ -230,10 +247,8 @@ class Encoder:
         params = json.loads(spark.read.text(os.path.join(path, "params")).first()[0])
         enc = cls(**params)
         enc.robust = {k: tuple(v) for k, v in enc.robust.items()}
-        try:
+        if enc.categorical:
             enc.onehot = PipelineModel.load(os.path.join(path, "onehot"))
-        except Exception:  # noqa: BLE001 - no categorical block
-            enc.onehot = None
         return enc
 
 
@@ -244,15 +259,21 @@ def _active():
 
 def fit_encoder(df: DataFrame, groups: Mapping[str, list[str]] | None = None, method: str = "exact") -> Encoder:
     """FE7 fit: median imputer + robust scaler on the scaled block, most-frequent imputer +
-    one-hot on the categorical block, most-frequent imputer on the passthrough block."""
+    one-hot on the categorical block, most-frequent imputer on the passthrough block.
+
+    A column without any value is left out of the vector and of the names."""
     g = dict(groups or group_columns(df))
-    enc = Encoder(scaled=list(g["scaled"]), categorical=list(g["categorical"]), passthrough=list(g["passthrough"]))
-    enc.medians = fit_median(df, enc.scaled, method) if enc.scaled else {}
-    filled = apply_fill(df, enc.medians)
+    medians = fit_median(df, g["scaled"], method)
+    modes = fit_mode(df, [*g["categorical"], *g["passthrough"]])
+    enc = Encoder(scaled=[c for c in g["scaled"] if medians.get(c) is not None],
+                  categorical=[c for c in g["categorical"] if modes.get(c) is not None],
+                  passthrough=[c for c in g["passthrough"] if modes.get(c) is not None])
+    enc.medians = {c: medians[c] for c in enc.scaled}
+    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in enc.medians.items()})
     enc.robust = fit_robust(filled, enc.scaled, method) if enc.scaled else {}
-    enc.modes_cat = fit_mode(df, enc.categorical)
-    enc.modes_pass = fit_mode(df, enc.passthrough)
+    enc.modes_cat = {c: modes[c] for c in enc.categorical}
+    enc.modes_pass = {c: modes[c] for c in enc.passthrough}
     if enc.categorical:
-        enc.onehot = fit_onehot(apply_fill(df, enc.modes_cat), enc.categorical)
+        enc.onehot = fit_onehot(_filled_categories(df, enc.categorical, enc.modes_cat), [_cat(c) for c in enc.categorical])
         enc.labels = onehot_labels(enc.onehot, enc.categorical)
     return enc

@@ -90,9 +90,9 @@ def _solver(penalty: np.ndarray):
         a, b = m[:, :-1] + np.diag(penalty), m[:, -1]
         try:
             beta = np.linalg.solve(a, b)
-            status = "ok"
         except np.linalg.LinAlgError:
-            beta, status = np.full(len(b), np.nan), "failed"
+            beta = np.full(len(b), np.nan)
+        status = "ok" if np.isfinite(beta).all() else "failed"
         return pd.DataFrame({"series": [pdf["series"].iloc[0]], "beta": [beta.tolist()], "status": [status]})
     return solve
 

@@ -29,28 +29,26 @@ def segment_share(customers: DataFrame, segment: str = "customer_segment", digit
 
 
 def overall_kpis(customers: DataFrame, summary: DataFrame | None = None, weighted: bool = True) -> DataFrame:
-    """KP3: totals over segments.  ``weighted=True``: true totals from the customer rows.
-    ``weighted=False``: the dashboard's way, sums / plain means of rounded segment means."""
-    if weighted:
-        return customers.agg(
-            F.sum("total_trips").cast("double").alias("total_trips"),
-            F.try_divide(F.sum("completed_trips").cast("double"), F.sum("total_trips")).alias("completion_rate"),
-            F.avg("avg_booking_value").alias("mean_value"),
-        )
-    if summary is None:
+    """KP3: total trips, completed share of them, mean value.  ``weighted=True``: from the customer
+    rows, the mean value weighted by trips (customers without a value left out).
+    ``weighted=False``: the dashboard's way, from the rows of the segment summary."""
+    if not weighted and summary is None:
         raise ValueError("weighted=False needs the segment summary")
-    return summary.agg(
-        F.sum("total_trips").alias("total_trips"),
-        F.avg("completion_rate").alias("completion_rate"),
-        F.avg("avg_booking_value").alias("mean_value"),
+    value = F.col("avg_booking_value")
+    mean = (F.try_divide(F.sum(value * F.col("total_trips")), F.sum(F.when(value.isNotNull(), F.col("total_trips"))))
+            if weighted else F.avg(value))
+    return (customers if weighted else summary).agg(
+        F.sum("total_trips").cast("double").alias("total_trips"),
+        F.try_divide(F.sum("completed_trips").cast("double"), F.sum("total_trips")).alias("completion_rate"),
+        mean.alias("mean_value"),
     )
 
 
 def segment_status(summary: DataFrame, segment: str = "customer_segment", digits: int = 2) -> DataFrame:
-    """KP4: completion rate in percent and status counts per segment (projection of AG3)."""
+    """KP4: completed trips in percent of all and status counts per segment (projection of AG3)."""
     return summary.select(
         segment,
-        round_half_even(F.col("completion_rate") * 100.0, digits).alias("completion_pct"),
+        round_half_even(F.try_divide(F.col("completed_trips"), F.col("total_trips")) * 100.0, digits).alias("completion_pct"),
         "completed_trips", "cancelled_trips", "incomplete_trips",
     )
 

@@ -161,7 +161,8 @@ def renumber_by_size(labelled: DataFrame, pred: str, out: str) -> DataFrame:
 
 def segment_customers(trips: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10,
                       key: str = "customer_id") -> tuple[DataFrame, KMeansModel, list[str]]:
-    """SG2: AG1 features -> median imputer (IM6) -> standard scaler (FE5) -> k-means."""
+    """SG2: AG1 features -> median imputer (IM6) -> standard scaler (FE5) -> k-means.  The rows hold the
+    features as they are, the imputed and scaled vector ``features`` and ``customer_segment``."""
     feats = customers.customer_features(trips, key)
     names = list(customers.CUSTOMER_FEATURES)
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
@@ -172,7 +173,7 @@ def segment_customers(trips: DataFrame, k: int = 3, seed: int = 42, n_init: int
     x = VectorAssembler(inputCols=present, outputCol="features").transform(scaled.select(key, *present))
     x = x.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_kmeans(x, k, seed=seed, n_init=n_init)
-    labelled = renumber_by_size(model.transform(x).select(key, "_pred"), "_pred", "customer_segment")
+    labelled = renumber_by_size(model.transform(x).select(key, "features", "_pred"), "_pred", "customer_segment")
     out = feats.join(labelled, key)
     return out, model, present
 

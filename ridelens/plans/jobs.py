@@ -65,10 +65,10 @@ def scaled_columns(df: DataFrame) -> list[str]:
 
 
 def clean_bookings(raw: DataFrame, cast_decision: dict | None = None, quantile_method: str = "exact",
-                   persist: bool = True) -> tuple[DataFrame, CleanArtifacts]:
+                   persist: bool = True, order_col: str = "seq") -> tuple[DataFrame, CleanArtifacts]:
     """Whole cleaning job in the reference's order: null tokens before parsing,
     dedup before flags, cast before imputation, cap before the rare collapse."""
-    df = prepare_bookings(raw)
+    df = prepare_bookings(raw, order_col)
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df, profile = impute_bookings(df, cast_decision)
@@ -96,6 +96,14 @@ def demand_split(df: DataFrame, ts: str = "datetime", series: str | None = "vehi
 # End-to-end jobs: each reads its input, runs the plan and writes its outputs.
 # ------------------------------------------------------------------------------------------
 
+#: Column that holds the place of a row in the raw files; of rows with one booking id the first stays.
+FILE_ORDER = "file_order"
+
+# Numeric columns of the trip profile and categories of the trip crosstabs.
+TRIP_MEANS = ("booking_value", "ride_distance", "driver_ratings", "customer_rating", "avg_vtat", "avg_ctat", "fare_per_km")
+TRIP_CROSSTABS = ("vehicle_type", "payment_method", "time_of_day")
+
+
 def _out(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
@@ -107,8 +115,8 @@ def run_clean_job(spark, raw_path: str, out_dir: str, fmt: str = "parquet") -> C
     from ridelens.operators import encode
     from ridelens.sources import files
 
-    raw = files.read_raw(spark, raw_path)
-    cleaned, art = clean_bookings(raw)
+    raw = files.read_raw(spark, raw_path, position=FILE_ORDER)
+    cleaned, art = clean_bookings(raw, order_col=FILE_ORDER)
     files.write_table(cleaned, _out(out_dir, "cleaned"), fmt)
     enc = encode.fit_encoder(cleaned)
     enc.save(_out(out_dir, "encoder"))
@@ -131,10 +139,10 @@ def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, c
     labelled, model, enc = segment.segment_trips(cleaned, k, completed_only, min_value, seed, encoder=enc)
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
     files.write_table(labelled.drop("features"), _out(out_dir, "segmented_trips"))
-    num = ["booking_value", "ride_distance", "driver_ratings", "customer_rating", "avg_vtat", "avg_ctat", "fare_per_km"]
+    num = list(TRIP_MEANS)
     files.write_table(customers.segment_summary(labelled, "trip_segment", num, prefix="avg_"),
                       _out(out_dir, "cluster_summary_numeric"), "csv")
-    for col in ("vehicle_type", "payment_method", "time_of_day"):
+    for col in TRIP_CROSSTABS:
         if col in labelled.columns:
             files.write_table(customers.crosstab_pct(labelled, "trip_segment", col), _out(out_dir, f"cluster_{col}"),
                               "csv")
@@ -145,43 +153,41 @@ def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, c
     files.write_table(segment.pca_2d(labelled, "features", "trip_segment"), _out(out_dir, "pca_2d"))
     prof = customers.segment_profile(labelled, "trip_segment", [c for c in num if c in labelled.columns])
     files.write_profile(customers.profile_lines(prof, "trip_segment", "Cluster"), _out(out_dir, "cluster_profile"),
-                        order=("trip_segment", "metric"))
+                        order=("trip_segment", "line_no"))
     labelled.unpersist()
 
 
 def run_customer_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, seed: int = 42) -> None:
     """§3.2 customers: features -> impute + scale -> k-means -> join back -> summaries, profile, PCA."""
-    from pyspark.ml.feature import VectorAssembler
-
     from ridelens.operators import customers, segment
     from ridelens.sources import files
 
     files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
     trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
-    cust, _, present = segment.segment_customers(trips, k=k, seed=seed)
+    cust, _, _ = segment.segment_customers(trips, k=k, seed=seed)
     cust = cust.persist(StorageLevel.MEMORY_AND_DISK)
-    files.write_table(cust, _out(out_dir, "segmented_customers"))
+    files.write_table(cust.drop("features"), _out(out_dir, "segmented_customers"))
     files.write_table(customers.trips_with_segment(trips, cust), _out(out_dir, "trips_with_customer_segment"))
     feats = list(customers.CUSTOMER_FEATURES)
     files.write_table(customers.segment_summary(cust, "customer_segment", feats),
                       _out(out_dir, "customer_cluster_summary_numeric"), "csv")
     prof = customers.segment_profile(cust, "customer_segment", feats)
     files.write_profile(customers.profile_lines(prof, "customer_segment"), _out(out_dir, "customer_cluster_profile"),
-                        order=("customer_segment", "metric"))
-    vec = VectorAssembler(inputCols=present, outputCol="v", handleInvalid="keep").transform(cust.na.fill(0.0, present))
-    files.write_table(segment.pca_2d(vec, "v", "customer_segment"), _out(out_dir, "customer_pca_2d"))
+                        order=("customer_segment", "line_no"))
+    files.write_table(segment.pca_2d(cust, "features", "customer_segment"), _out(out_dir, "customer_pca_2d"))
     cust.unpersist()
 
 
 def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sample_fraction: float | None = None,
-                         fast: bool = True) -> None:
-    """§3.2 choice of k: encoder on a sample, inertia + silhouette for k = 2..max_k."""
+                         fast: bool = True, completed_only: bool = False, min_value: float | None = None) -> None:
+    """§3.2 choice of k: row filters (FL5/FL6), encoder, inertia + silhouette for k = 2..max_k."""
     from ridelens.operators import encode, segment
     from ridelens.sources import files
 
     files.require(spark, [_out(clean_dir, "cleaned"), _out(clean_dir, "encoder")], "the clean job")
     cleaned = files.read_clean(spark, _out(clean_dir, "cleaned"))
-    x = encode.Encoder.load(_out(clean_dir, "encoder")).transform(cleaned).select("features")
+    rows = clean.segmentation_input(cleaned, completed_only, min_value)
+    x = encode.Encoder.load(_out(clean_dir, "encoder")).transform(rows).select("features")
     ev = segment.evaluate_k(x, range(2, max_k + 1), fast=fast, sample_fraction=sample_fraction)
     files.write_table(ev, _out(out_dir, "k_evaluation"), "csv")
 

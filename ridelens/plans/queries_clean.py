@@ -19,8 +19,9 @@ TEXT_COLS = ["booking_id", "customer_id", "date", "time", "booking_status", "veh
              "reason_for_cancelling_by_customer", "payment_method"]
 CATEGORY_COLS = ["booking_status", "vehicle_type", "pickup_location", "driver_ratings",
                  "reason_for_cancelling_by_customer", "payment_method", "day_name", "time_of_day"]
-TOKENS_SQL = ", ".join(f"'{t}'" for t in strings.NULL_TOKENS)
-NUMBER_RE_SQL = clean.NUMBER_RE.replace("'", "''")
+# Written out here, not imported from the operators, so that a wrong value there shows.
+TOKENS_SQL = "'', 'null', 'none', 'na', 'n/a', 'nan'"
+NUMBER_RE_SQL = r"^[+-]?(([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity))$"
 
 
 def _strip(x: str) -> str:

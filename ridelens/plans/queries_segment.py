@@ -143,8 +143,9 @@ def q_crosstab(spark, sf_dir):
 _PROFILE_SQL = (_OB_CUST_SQL + ",\npw AS (SELECT customer_segment, CAST(count(*) AS DOUBLE) AS n, "
                 + ", ".join(f"{_rhe(f'avg({c})')} AS {c}" for c in FEATURES) + " FROM cs GROUP BY 1),\n"
                 "pl AS (" + "\nUNION ALL ".join(
-                    [f"SELECT customer_segment, 'n' AS metric, n AS value FROM pw"]
-                    + [f"SELECT customer_segment, 'avg_{c}' AS metric, {c} AS value FROM pw" for c in FEATURES]) + ")")
+                    ["SELECT customer_segment, CAST(0 AS INTEGER) AS line_no, 'n' AS metric, n AS value FROM pw"]
+                    + [f"SELECT customer_segment, {i} AS line_no, 'avg_{c}' AS metric, {c} AS value FROM pw"
+                       for i, c in enumerate(FEATURES, 1)]) + ")")
 
 
 @register("segment_profile", _PROFILE_SQL + "\nSELECT * FROM pl")
@@ -172,15 +173,16 @@ def q_kpi_share(spark, sf_dir):
 
 @register("kpi_overall", round6(_OB_CUST_SQL + """
 SELECT CAST(sum(total_trips) AS DOUBLE) AS total_trips, sum(completed_trips) / sum(total_trips) AS completion_rate,
-  avg(avg_booking_value) AS mean_value FROM cs""", ["total_trips", "completion_rate", "mean_value"]))
+  (SELECT sum(avg_booking_value * total_trips) / sum(total_trips) FROM cs WHERE avg_booking_value IS NOT NULL) AS mean_value
+FROM cs""", ["total_trips", "completion_rate", "mean_value"]))
 def q_kpi_overall(spark, sf_dir):
     """KP3 (weighted: true totals)."""
     return _r6(kpi.overall_kpis(_order_customers(spark, sf_dir)))
 
 
 @register("kpi_overall_unweighted", round6(_OB_CUST_SQL + ",\nsm AS (" + _SUMMARY_SQL + """)
-SELECT sum(total_trips) AS total_trips, avg(completion_rate) AS completion_rate, avg(avg_booking_value) AS mean_value
-FROM sm""", ["total_trips", "completion_rate", "mean_value"]))
+SELECT sum(total_trips) AS total_trips, sum(completed_trips) / sum(total_trips) AS completion_rate,
+  avg(avg_booking_value) AS mean_value FROM sm""", ["total_trips", "completion_rate", "mean_value"]))
 def q_kpi_overall_unweighted(spark, sf_dir):
     """KP3 as the dashboard does it: over rounded segment means."""
     summary = customers.segment_summary(_order_customers(spark, sf_dir), "customer_segment", FEATURES)
@@ -188,7 +190,7 @@ def q_kpi_overall_unweighted(spark, sf_dir):
 
 
 @register("kpi_status", _OB_CUST_SQL + ",\nsm AS (" + _SUMMARY_SQL + f""")
-SELECT customer_segment, {_rhe('completion_rate * 100.0')} AS completion_pct, completed_trips, cancelled_trips,
+SELECT customer_segment, {_rhe('completed_trips / total_trips * 100.0')} AS completion_pct, completed_trips, cancelled_trips,
   incomplete_trips FROM sm""")
 def q_kpi_status(spark, sf_dir):
     """KP4."""
@@ -336,15 +338,50 @@ def q_onehot_part(spark, sf_dir):
     return encode.onehot_long(part, model, ["p_brand", "p_type"], "p_partkey")
 
 
-@register("encoder_features")
+_ENC_SCALED = ["booking_value", "ride_distance", "customer_rating"]
+_ENC_TEXT = ["booking_status", "vehicle_type", "pickup_location", "driver_ratings", "reason_for_cancelling_by_customer",
+             "payment_method", "day_name", "time_of_day"]
+_ENC_PASS = ["year", "month", "day", "hour", "dow", "is_weekend", "is_peak", "is_completed", "is_incomplete", "is_cancelled",
+             "cancelled_rides_by_customer"]
+
+
+def _encoder_sql() -> str:
+    filled = ", ".join(f"coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM rm)) AS {c}" for c in _ENC_SCALED)
+    parts = [f"""SELECT booking_id, '{c}' AS feature, ({c} - q[2]) / CASE WHEN q[3] = q[1] THEN 1.0 ELSE q[3] - q[1] END AS value
+FROM fi, (SELECT quantile_cont({c}, [0.25, 0.5, 0.75]) AS q FROM fi) b""" for c in _ENC_SCALED]
+    parts += [f"SELECT booking_id, '{c}_' || coalesce({c}, {_mode_sql(c, 'rm')}) AS feature, 1.0 AS value FROM rm" for c in _ENC_TEXT]
+    parts += [f"SELECT booking_id, '{c}' AS feature, CAST(coalesce({c}, {_mode_sql(c, 'rm')}) AS DOUBLE) AS value FROM rm"
+              for c in _ENC_PASS]
+    return (_CLEAN_SQL + f",\nrm AS MATERIALIZED (SELECT * FROM rr),\nfi AS (SELECT booking_id, {filled} FROM rm)\n"
+            + "\nUNION ALL ".join(parts))
+
+
+@register("encoder_features", round6(_encoder_sql(), ["value"]))
 def q_encoder_features(spark, sf_dir):
-    """FE7 + FE8: the fitted column transformer on the cleaned bookings; vector width = feature names."""
+    """FE1 + FE7 + FE8: the fitted column transformer on the cleaned bookings, its vectors by feature name."""
+    df = jobs.clean_bookings(dirty_bookings(spark, sf_dir))[0]
+    return _r6(encode.fit_encoder(df).transform_long(df, "booking_id"))
+
+
+@register("encoded_trip_means", _CLEAN_SQL + f"""
+SELECT vehicle_type, {_rhe('avg(booking_value)')} AS avg_booking_value, {_rhe('avg(ride_distance)')} AS avg_ride_distance,
+  {_rhe('avg(customer_rating)')} AS avg_customer_rating FROM rr GROUP BY 1""")
+def q_encoded_trip_means(spark, sf_dir):
+    """AG3 on encoded trips with a given label: the means are those of the unscaled values."""
+    df = jobs.clean_bookings(dirty_bookings(spark, sf_dir))[0]
+    rows = encode.fit_encoder(df).transform(df)
+    return customers.segment_summary(rows, "vehicle_type", ["booking_value", "ride_distance", "customer_rating"], prefix="avg_")
+
+
+@register("encoded_trip_crosstab", _CLEAN_SQL + f"""
+, cells AS (SELECT vehicle_type, time_of_day AS value, count(*) AS cnt FROM rr
+  WHERE vehicle_type IS NOT NULL AND time_of_day IS NOT NULL GROUP BY 1, 2)
+SELECT c.vehicle_type, c.value, {_rhe('c.cnt * 100.0 / t.row_total')} AS pct FROM cells c
+JOIN (SELECT vehicle_type, sum(cnt) AS row_total FROM cells GROUP BY 1) t ON c.vehicle_type = t.vehicle_type""")
+def q_encoded_trip_crosstab(spark, sf_dir):
+    """AG5 on encoded trips with a given label: rows without a category stay without one."""
     df = jobs.clean_bookings(dirty_bookings(spark, sf_dir))[0]
-    enc = encode.fit_encoder(df)
-    names = enc.feature_names()
-    from pyspark.ml.functions import vector_to_array
-    return enc.transform(df).select("booking_id", F.size(vector_to_array("features")).alias("width"),
-                                    F.lit(len(names)).alias("n_names"))
+    return customers.crosstab_pct(encode.fit_encoder(df).transform(df), "vehicle_type", "time_of_day")
 
 
 # ------------------------------------------------------------------ segmentation measures with given labels
@@ -440,7 +477,7 @@ def q_assign_nearest(spark, sf_dir):
 def q_kmeans_customers(spark, sf_dir):
     """SG2: customer k-means (k = 3, seed 42, best of 10) on the cleaned bookings."""
     out, _, _ = segment.segment_customers(jobs.clean_bookings(dirty_bookings(spark, sf_dir))[0], k=3)
-    return _r6(out)
+    return _r6(out.drop("features"))
 
 
 @register("kmeans_trips")
@@ -484,7 +521,8 @@ def q_normality(spark, sf_dir):
 w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 10 ELSE 1.0 END AS width FROM r),
 b AS (SELECT CAST(least(floor((l_extendedprice - lo) / width) + 1, 10) AS INTEGER) AS bin, count(*) AS n
   FROM lineitem, w WHERE l_extendedprice IS NOT NULL GROUP BY 1)
-SELECT bin, lo + (bin - 1) * width AS lo, lo + bin * width AS hi, n FROM b, w""", ["lo", "hi"]))
+SELECT CAST(i AS INTEGER) AS bin, lo + (i - 1) * width AS lo, lo + i * width AS hi, coalesce(n, 0) AS n
+FROM range(1, 11) g(i) CROSS JOIN w LEFT JOIN b ON b.bin = g.i""", ["lo", "hi"]))
 def q_histogram(spark, sf_dir):
     """DI2: 10 equal-width bins."""
     return _r6(distribution.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 10))
@@ -556,7 +594,7 @@ def q_trip_segment_summary(spark, sf_dir):
 
 
 @register("profile_lines", _PROFILE_SQL + """
-SELECT customer_segment, metric, CASE WHEN metric = 'n'
+SELECT customer_segment, line_no, metric, CASE WHEN metric = 'n'
   THEN printf('Segment %s size : %d', customer_segment, CAST(value AS BIGINT))
   ELSE '  ' || metric || ' : ' || coalesce(CAST(value AS VARCHAR), 'nan') END AS line FROM pl""")
 def q_profile_lines(spark, sf_dir):

@@ -41,7 +41,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/S3/...) for this cluster session")
     path = tempfile.mkdtemp(prefix="ridelens-ckpt-", dir=os.environ.get("RIDELENS_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)

@@ -15,13 +15,21 @@ class MissingInput(FileNotFoundError):
     """An input of a job is absent; the message names the job to run first."""
 
 
-def read_raw(spark: SparkSession, path: str, columns: Iterable[str] | None = None) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, columns: Iterable[str] | None = None,
+             position: str | None = None) -> DataFrame:
     """IO1: CSV with a header, every column text (no inference).  With ``columns`` the schema is
-    declared; otherwise the header is read and every field is typed as string."""
+    declared; otherwise the header is read and every field is typed as string.
+
+    ``position`` adds a column that orders rows as the files hold them: file name, start of the
+    block within the file, then the row within the block (its task reads blocks one after another)."""
     reader = spark.read.option("header", True).option("inferSchema", False)
     if columns is not None:
-        return reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns])).csv(path)
-    return reader.csv(path)
+        reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
+    raw = reader.csv(path)
+    if position is None:
+        return raw
+    return raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                    F.monotonically_increasing_id().alias("row")).alias(position))
 
 
 def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
@@ -66,7 +74,7 @@ def write_by_series(df: DataFrame, path: str, series: str = "series", fmt: str =
     (w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path))
 
 
-def write_profile(lines: DataFrame, path: str, order: Iterable[str] = ("segment", "metric")) -> None:
-    """IO9: profile lines as text (sorted; the set is k x metrics lines, so one file)."""
+def write_profile(lines: DataFrame, path: str, order: Iterable[str] = ("segment", "line_no")) -> None:
+    """IO9: profile lines as text (sorted by segment and line number; the set is k x metrics lines, so one file)."""
     cols = [c for c in order if c in lines.columns]
     lines.orderBy(*cols).select("line").coalesce(1).write.mode("overwrite").text(path)
