@@ -17,19 +17,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node, component`` (smallest node reachable) for every node of an edge table, by alternating
     large-star and small-star rounds.  Each round is two grouped minima joined back; a node with
     very many edges is pre-aggregated in the map tasks and its join rows can be split.  Lineage
-    is cut by a checkpoint after each round.  Loops and null ends are ignored.
+    is cut by a checkpoint after each round.  Loops and null ends are ignored.  Up to ``EDGES_PER_TASK``
+    edges, a round is one task without a shuffle.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
     state = _state(e)
+    if 0 < state[0] <= EDGES_PER_TASK:
+        e = cut_lineage(e.coalesce(1))
     while state[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _packed(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), state[0])
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("m", "u").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < w").select(F.col("w").alias("u"), F.col("m").alias("v")))
+        large = _packed(large.unionByName(low.where("m < w").select(F.col("w").alias("u"), F.col("m").alias("v"))), state[0])
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
+        small = _packed(small.unionByName(low.select(F.col("w").alias("u"), F.col("m").alias("v"))), state[0])
         # a small edge table needs few tasks in the next round; there are never more edges than before
         e = cut_lineage(small.where("u <> v").distinct().coalesce(max(1, state[0] // EDGES_PER_TASK)))
         now = _state(e)
@@ -40,6 +43,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _packed(rows: DataFrame, edges: int) -> DataFrame:
+    return rows.coalesce(1) if edges <= EDGES_PER_TASK else rows
+
+
 def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 32))).first())
 
