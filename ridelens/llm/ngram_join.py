@@ -11,6 +11,11 @@ document and its neighbour; what is verified is joined to components.  In large
 neighbours in several other orders follow, only across components.  What is then left are
 pairs across components, and only rows outside the column's largest component are paired.
 Documents of one component need no further pair, so no link is lost.
+
+Each class carries its size and a parity map: bit ``j`` tells whether an odd number of its n-grams hash
+to ``j``.  Two maps that differ in ``h`` bits prove at least ``h`` n-grams that only one set has, so the
+overlap is at most ``(|A| + |B| - h) / 2``; a pair below its size bound by that goes before it is
+counted or its whole sets are read.  The bound holds for every pair; with long sets it prunes less.
 """
 
 from __future__ import annotations
@@ -31,6 +36,9 @@ HEAVY_KEYS = 1 << 16
 HEAVY_COUNT = 32
 #: Columns of more rows are first searched in this many rounds of this many orders.
 LARGE_COLUMN, ROUNDS, ORDERS = 8, 1, 8
+#: 64-bit words of the parity map of a set.
+MAP_WORDS = 8
+MAP = [f"map{j}" for j in range(MAP_WORDS)]
 PART = 2 << 20
 
 
@@ -56,14 +64,27 @@ def _set_id(s: np.ndarray) -> int:
     return int(mix(np.array([s.sum(dtype=np.uint64) + np.uint64(len(s))]))[0].view(np.int64))
 
 
+def parity_maps(sets: list[np.ndarray]) -> np.ndarray:
+    """One row of ``MAP_WORDS`` 64-bit words per set: the parity of the number of its hashes at each bit."""
+    out = np.zeros(len(sets) * MAP_WORDS, np.uint64)
+    if sets:
+        at = (np.concatenate(sets) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+        at %= np.uint64(64 * MAP_WORDS)
+        owner = np.repeat(np.arange(len(sets)) * MAP_WORDS, [len(s) for s in sets])
+        np.bitwise_xor.at(out, owner + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64).reshape(-1, MAP_WORDS)
+
+
 def _members(n: int):
     def run(batches: Iterator[pa.RecordBatch]):
         for part in pieces(batches, size=PART):
             sets = ngram_sets(part.column("text"), n)
+            maps = parity_maps(sets)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "set_id"])
-    return run, "doc_id long, n_shingles long, set_id long"
+                 pa.array([_set_id(s) if len(s) else None for s in sets], pa.int64()),
+                 *[pa.array(maps[:, j]) for j in range(MAP_WORDS)]], names=["doc_id", "n_shingles", "set_id", *MAP])
+    return run, "doc_id long, n_shingles long, set_id long, " + ", ".join(f"{m} long" for m in MAP)
 
 
 def _repeated(n: int):
@@ -238,23 +259,35 @@ def _neighbours(mixed: DataFrame, first_order: int) -> DataFrame:
     return near.where("comp <> other_comp").groupBy(*_pairs("set_id", "other")).agg(F.count("*").alias("overlap"))
 
 
-def _across(mixed: DataFrame) -> DataFrame:
-    """All pairs across components that a column holds, with their number of shared columns."""
-    left = mixed.where("comp <> top").select("token", F.col("set_id").alias("x"), F.col("comp").alias("comp_x"))
-    right = mixed.select("token", F.col("set_id").alias("y"), F.col("comp").alias("comp_y"), "top")
+def _can_reach(x: str, y: str, percent: int):
+    """Whether sizes and parity maps of the sides ``x`` and ``y`` leave room for the threshold."""
+    n_x, n_y = F.col(f"n_{x}"), F.col(f"n_{y}")
+    apart = sum((F.bit_count(F.col(f"{m}_{x}").bitwiseXOR(F.col(f"{m}_{y}"))) for m in MAP[1:]),
+                F.bit_count(F.col(f"{MAP[0]}_{x}").bitwiseXOR(F.col(f"{MAP[0]}_{y}"))))
+    return (100 * F.least(n_x, n_y) >= percent * F.greatest(n_x, n_y)) & (
+        (100 + percent) * (n_x + n_y - apart) >= 2 * percent * (n_x + n_y))
+
+
+def _side(classes: DataFrame, x: str) -> DataFrame:
+    return classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), *[F.col(m).alias(f"{m}_{x}") for m in MAP])
+
+
+def _across(mixed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs across components that a column holds and that can reach the threshold, with their number
+    of shared columns."""
+    left = mixed.where("comp <> top").select("token", F.col("set_id").alias("x"), F.col("comp").alias("comp_x")).join(_side(classes, "x"), "x")
+    right = mixed.select("token", F.col("set_id").alias("y"), F.col("comp").alias("comp_y"), "top").join(_side(classes, "y"), "y")
     across = left.join(right, "token").where((F.col("comp_x") != F.col("comp_y")) & (
-        (F.col("comp_y") == F.col("top")) | (F.col("x") > F.col("y"))))
+        (F.col("comp_y") == F.col("top")) | (F.col("x") > F.col("y"))) & _can_reach("x", "y", percent))
     return across.groupBy(*_pairs("x", "y")).agg(F.count("*").alias("overlap"))
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, share: float) -> DataFrame:
     """Pairs whose summed overlap over their prefixes (times ``1 / share``) can reach the size bound."""
-    side = lambda x: classes.select(F.col("set_id").alias(x), F.col("n_shingles").alias(f"n_{x}"))
-    p = pairs.join(side("a"), "a").join(side("b"), "b")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    p = pairs.join(_side(classes, "a"), "a").join(_side(classes, "b"), "b")
     need = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / F.lit(100 + percent))
     beyond = F.greatest(*[F.col(f"n_{x}") - (F.col(f"n_{x}") - F.ceil(percent * F.col(f"n_{x}") / F.lit(100)) + 1) for x in "ab"])
-    return p.where((100 * small >= percent * large) & (F.col("overlap") >= share * (need - beyond))).select("a", "b")
+    return p.where(_can_reach("a", "b", percent) & (F.col("overlap") >= share * (need - beyond))).select("a", "b")
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, heavy_keys: int = HEAVY_KEYS) -> DataFrame:
@@ -274,7 +307,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, heavy_key
     run, schema = _members(n)
     members = cut_lineage(docs.mapInArrow(run, schema))
     classes = cut_lineage(members.where("doc_id is not null and set_id is not null").groupBy("set_id").agg(
-        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles")))
+        F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n_shingles"), *[F.max(m).alias(m) for m in MAP]))
 
     run, schema = _repeated(n)
     heavy = (known.mapInArrow(run, schema).groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_COUNT)
@@ -301,7 +334,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, heavy_key
         links = links.unionByName(verifier.links(pairs))
         parts = cut_lineage(components(links))
         mixed = _mixed(columns, parts)
-    pairs = cut_lineage(_plausible(_across(mixed), classes, percent, 1.0).join(tried, ["a", "b"], "left_anti"))
+    pairs = cut_lineage(_plausible(_across(mixed, classes, percent), classes, percent, 1.0).join(tried, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         links = links.unionByName(verifier.links(pairs))
     same = members.where("doc_id is not null and set_id is not null").select("doc_id", "set_id").join(
