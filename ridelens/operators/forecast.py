@@ -28,6 +28,7 @@ from ridelens.operators.series import SERIES, add_steps
 Z80 = 1.2815515655446004
 
 OUT_COLS = [SERIES, "model", "ds", "y", "y_pred"]
+BOUND_COLS = ["y_lower", "y_upper", "status"]
 _WEEK_STEPS = {"hour": 168, "day": 7}
 
 
@@ -153,12 +154,13 @@ def forecast_additive(split: DataFrame, value: str = "y", log: bool = False, cli
 
 
 def forecast_future(split: DataFrame, horizon: int = 168, value: str = "y", log: bool = True,
-                    clip: bool | None = None, freq: str = "hour", origin: str = "end") -> DataFrame:
+                    clip: bool | None = None, freq: str = "hour", origin: str = "end",
+                    model: str = "additive") -> DataFrame:
     """FC6: ``horizon`` steps after the end with ``yhat, yhat_lower, yhat_upper`` (in orders).
 
     ``origin="end"`` fits on every point of the series and starts after its last point;
     ``origin="train"`` fits on the train part and, like the reference, covers the train span
-    plus ``horizon`` steps after it.
+    plus ``horizon`` steps after it.  ``model`` is ``"additive"`` (trend + slot means) or ``"fourier"``.
     """
     clip = log if clip is None else clip
     target = F.log1p(F.col(value).cast("double")) if log else F.col(value).cast("double")
@@ -172,10 +174,16 @@ def forecast_future(split: DataFrame, horizon: int = 168, value: str = "y", log:
             SERIES, "t0", F.lit(0).cast("long").alias("start"), (F.col("nt") + horizon - 1).alias("stop"))
     else:
         raise ValueError("origin must be 'end' or 'train'")
-    line, season = fit_additive(fit_rows, target, freq)
     grid = span.select(SERIES, "t0", F.explode(F.sequence("start", "stop")).alias("pos")).select(
         SERIES, "pos", add_steps("t0", "pos", freq).alias("ds"))
-    pred = predict_additive(grid, line, season, freq)
+    if model == "additive":
+        pred = predict_additive(grid, *fit_additive(fit_rows, target, freq), freq)
+    elif model == "fourier":
+        from ridelens.operators import fourier
+        fitted = fourier.fit_fourier(fit_rows, target, freq, fourier.default_cp_scale(log))
+        pred = fourier.predict_fourier(grid, fitted, freq)
+    else:
+        raise ValueError("model must be 'additive' or 'fourier'")
     return pred.select(
         SERIES, "ds",
         _back(F.col("fit"), log, clip).alias("yhat"),
@@ -202,10 +210,18 @@ MODELS = {
 
 
 def run_forecasts(split: DataFrame, models: Iterable[str] = ("baseline_last", "baseline_weekly", "additive_log1p"),
-                  value: str = "y", freq: str = "hour") -> DataFrame:
-    """FC8: all models over all series in one table ``series, model, ds, y, y_pred``."""
+                  value: str = "y", freq: str = "hour", bounds: bool = False) -> DataFrame:
+    """FC8: all models over all series in one table ``series, model, ds, y, y_pred``.
+
+    ``bounds=True`` adds ``y_lower, y_upper`` (null for models without an interval) and ``status`` (FC7);
+    a model without one of its own is ``failed`` where it has no forecast."""
     out = None
     for name in models:
-        part = MODELS[name](split, value, freq).select(*OUT_COLS)
+        part = MODELS[name](split, value, freq)
+        if bounds and "status" not in part.columns:
+            none = F.lit(None).cast("double")
+            part = part.withColumns({"y_lower": none, "y_upper": none, "status": F.when(
+                F.col("y_pred").isNull(), F.lit("failed")).otherwise(F.lit("ok"))})
+        part = part.select(*OUT_COLS, *(BOUND_COLS if bounds else []))
         out = part if out is None else out.unionByName(part)
     return out

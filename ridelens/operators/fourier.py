@@ -64,6 +64,11 @@ def features(freq: str = "hour", n_cp: int = N_CHANGEPOINTS) -> Column:
     return F.array(*cols)
 
 
+def default_cp_scale(log: bool) -> float:
+    """Changepoint prior scale of FC5 (``log``) and FC4."""
+    return 0.5 if log else 0.05
+
+
 def _penalties(freq: str, n_cp: int, cp_scale: float) -> np.ndarray:
     pen = [(SIGMA0 / TREND_SCALE) ** 2] * 2 + [(SIGMA0 / cp_scale) ** 2] * n_cp
     pen += [(SIGMA0 / SEASONALITY_SCALE) ** 2] * (_n_features(freq, n_cp) - 2 - n_cp)
@@ -145,10 +150,10 @@ def forecast_fourier(split: DataFrame, value: str = "y", log: bool = False, clip
                      freq: str = "hour", cp_scale: float | None = None, model: str | None = None) -> DataFrame:
     """FC4 (``log=False``, changepoint scale 0.05) / FC5 (``log=True``, scale 0.5) with Fourier terms."""
     clip = log if clip is None else clip
-    cp_scale = cp_scale if cp_scale is not None else (0.5 if log else 0.05)
+    scale = cp_scale if cp_scale is not None else default_cp_scale(log)
     model = model or ("fourier_log1p" if log else "fourier")
     target = F.log1p(F.col(value).cast("double")) if log else F.col(value).cast("double")
-    fitted = fit_fourier(_train(split), target, freq, cp_scale)
+    fitted = fit_fourier(_train(split), target, freq, scale)
     pred = predict_fourier(_test(split).drop("span"), fitted, freq)
     return pred.select(
         SERIES, F.lit(model).alias("model"), "ds", F.col(value).cast("double").alias("y"),

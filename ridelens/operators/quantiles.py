@@ -9,14 +9,9 @@
 3. per (partition, name) totals -> at most partitions + columns rows, collected;
 4. the driver turns the totals into offsets and finds, for every wanted rank, the partition
    and the local rank that hold it;
-5. a running count within each partition (one range partition per window group) finds the
+5. a running count within the partitions that hold a wanted rank, and only those, finds the
    values at those ranks: at most ``2 * len(probs) * len(cols)`` rows are collected.
 
-Fast path with a size check, per column: one small job counts the distinct values of every
-column; columns with at most ``small_limit`` of them (ratings, quantities, flags ...) have
-their ``(v, count)`` pairs fetched and ranked on the driver, the others take the distributed
-path above on the same persisted counts.
-
 ``method="approx"`` uses ``percentile_approx`` (bounded sketch, one aggregate).
 """
 
@@ -30,39 +25,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def _long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in cols])
     return (df.select(F.explode(pairs).alias("kv")).select("kv.name", "kv.v")
             .where(F.col("v").isNotNull() & ~F.isnan("v")))
 
 
-SMALL_LIMIT = 20_000
-
-
-def _interpolate(values: list[tuple[float, int]], probs: Sequence[float]) -> list[float]:
-    """Linear-interpolated quantiles from sorted (value, count) pairs."""
-    n = sum(c for _, c in values)
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = math.floor(h), math.ceil(h)
-        picked = {}
-        acc = 0
-        for v, c in values:
-            for r in (lo, hi):
-                if r not in picked and acc <= r < acc + c:
-                    picked[r] = v
-            acc += c
-            if len(picked) == len({lo, hi}):
-                break
-        a, b = picked[lo], picked[hi]
-        out.append(a + (b - a) * (h - lo))
-    return out
-
-
 def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "exact",
-              accuracy: int = 100_000, small_limit: int = SMALL_LIMIT) -> dict[str, list[float | None]]:
+              accuracy: int = 100_000) -> dict[str, list[float | None]]:
     """``{col: [q(p) for p in probs]}``; a column without values gives ``None``s."""
     cols, probs = list(cols), [float(p) for p in probs]
     if not cols:
@@ -74,23 +44,8 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
     if method != "exact":
         raise ValueError("method must be 'exact' or 'approx'")
 
-    counts = _long(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c")).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    sizes = {r["name"]: r["k"] for r in counts.groupBy("name").agg(F.count(F.lit(1)).alias("k")).collect()}
-    small_names = [c for c in cols if c in sizes and sizes[c] <= small_limit]
-    big_names = [c for c in cols if c in sizes and sizes[c] > small_limit]
-    result: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols if c not in sizes}
-    if small_names:
-        by_name: dict[str, list[tuple[float, int]]] = {}
-        for r in counts.where(F.col("name").isin(small_names)).collect():  # <= small_limit rows per column
-            by_name.setdefault(r["name"], []).append((r["v"], r["c"]))
-        result.update({c: _interpolate(sorted(by_name[c]), probs) for c in small_names})
-    if not big_names:
-        counts.unpersist()
-        return {c: result[c] for c in cols}
-    counts_big = counts.where(F.col("name").isin(big_names))
-
-    ranked = counts_big.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()).persist(
+    counts = _long(df, cols).groupBy("name", "v").agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.repartitionByRange("name", "v").withColumn("pid", F.spark_partition_id()).persist(
         StorageLevel.MEMORY_AND_DISK)
     blocks = ranked.groupBy("pid", "name").agg(F.sum("c").alias("m")).collect()
 
@@ -122,23 +77,19 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method
         spark = df.sparkSession
         targets = spark.createDataFrame(wanted, "name string, pid int, local long, rank long")
         w = Window.partitionBy("pid", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        run = ranked.withColumn("cum", F.sum("c").over(w))
+        held = ranked.join(F.broadcast(targets.select("pid", "name").distinct()), ["pid", "name"], "left_semi")
+        run = held.withColumn("cum", F.sum("c").over(w))
         hits = (run.join(F.broadcast(targets), ["pid", "name"])
                 .where((F.col("local") >= F.col("cum") - F.col("c")) & (F.col("local") < F.col("cum")))
                 .select("name", "rank", "v").collect())
         found = {(h["name"], h["rank"]): h["v"] for h in hits}
     ranked.unpersist()
-    counts.unpersist()
 
-    out: dict[str, list[float | None]] = dict(result)
-    for c in big_names:
-        vals = []
-        for h, lo, hi in plan[c]:
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        vals: list[float | None] = [] if c in plan else [None] * len(probs)
+        for h, lo, hi in plan.get(c, []):
             a, b = found[(c, lo)], found[(c, hi)]
             vals.append(a + (b - a) * (h - lo))
         out[c] = vals
-    return {c: out[c] for c in cols}
-
-
-def median(df: DataFrame, cols: Sequence[str], method: str = "exact") -> dict[str, float | None]:
-    return {c: v[0] for c, v in quantiles(df, cols, [0.5], method).items()}
+    return out

@@ -5,9 +5,8 @@
   compare; the reference keeps arbitrary labels.
 * Centres are k x d numbers: they are the only thing collected, and are inlined as array
   literals (bounded by k and the feature count, never by the rows).
-* Silhouette (SG4) is the linear squared-Euclidean form (as ``ClusteringEvaluator``),
-  written as per-cluster aggregates + a projection; the all-pairs Euclidean form is not built
-  (it would emit every pair of rows).
+* Silhouette (SG4) is the linear squared-Euclidean form of ``ClusteringEvaluator``; the all-pairs
+  Euclidean form is not built (it would emit every pair of rows).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -86,30 +86,14 @@ def centroid_range(centres_long: DataFrame, label: str = "label", n: int = 30,
 
 # ---------------------------------------------------------------------------- SG4
 def silhouette(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """SG4: mean silhouette with squared Euclidean distance, as ``ClusteringEvaluator``.
-
-    Per cluster C: N_C, sum of vectors S_C, sum of squared norms Q_C (one aggregate, k rows).
-    For a point x: d(x, C) = |x|^2 + Q_C / N_C - 2 x . S_C / N_C; its own cluster is rescaled by
-    N / (N - 1) to leave the point out; single-point clusters score 0.
-    """
-    v = F.col(vec).cast("array<double>") if dict(df.dtypes)[vec].startswith("array") else vector_to_array(vec)
-    stats = cluster_stats(df, vec, label)
-    sums = {r["_l"]: r["s"].toArray().tolist() for r in stats}
-    if len(stats) < 2:
-        return df.sparkSession.range(1).select(F.lit(None).cast("double").alias("silhouette"))
-    info = {r["_l"]: (r["n"], r["q"]) for r in stats}
-    q_x = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-
-    def dot(c):
-        lit = F.array(*[F.lit(float(x)) for x in c])
-        return F.aggregate(F.zip_with(v, lit, lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-
-    dist = {k: q_x + F.lit(info[k][1] / info[k][0]) - F.lit(2.0 / info[k][0]) * dot(sums[k]) for k in info}
-    own_n = F.element_at(F.create_map(*[x for k in info for x in (F.lit(k), F.lit(info[k][0]))]), F.col(label))
-    own = F.coalesce(*[F.when(F.col(label) == k, dist[k]) for k in info]) * own_n / (own_n - 1)
-    other = F.least(*[F.when(F.col(label) != k, dist[k]) for k in info])
-    s = (F.when(own_n == 1, 0.0).when(own < other, 1 - own / other).when(own > other, other / own - 1).otherwise(0.0))
-    return df.select(s.alias("_s")).agg(F.avg("_s").alias("silhouette"))
+    """SG4: mean silhouette with squared Euclidean distance, by ``ClusteringEvaluator``; null with fewer than
+    two labels.  Rows without a vector or label take no part."""
+    rows = df.where(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(
+        _as_vector(df, vec).alias("_v"), F.col(label).cast("double").alias("_l"))
+    value = None
+    if rows.select("_l").distinct().limit(2).count() == 2:
+        value = ClusteringEvaluator(featuresCol="_v", predictionCol="_l").evaluate(rows)
+    return df.sparkSession.createDataFrame([(value,)], "silhouette double")
 
 
 def labelled_cost(df: DataFrame, vec: str, label: str) -> float:
@@ -203,11 +187,7 @@ def evaluate_k(x: DataFrame, ks: Sequence[int] = range(2, 9), features: str = "f
     rows = []
     for k in ks:
         model = fit_kmeans(x, k, features, seed, n_init, max_iter=20 if fast else 300)
-        lab = model.transform(x).withColumn("_arr", vector_to_array(features))
-        try:
-            sil = silhouette(lab, "_arr", "_pred").first()["silhouette"]
-        except Exception:  # noqa: BLE001 - a failed silhouette is reported as null
-            sil = None
+        sil = silhouette(model.transform(x), features, "_pred").first()["silhouette"]
         rows.append((int(k), float(model.summary.trainingCost), sil))
     x.unpersist()
     return x.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

@@ -138,6 +138,7 @@ def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, c
     enc = encode.Encoder.load(_out(clean_dir, "encoder"))
     labelled, model, enc = segment.segment_trips(cleaned, k, completed_only, min_value, seed, encoder=enc)
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
+    model.write().overwrite().save(_out(out_dir, "kmeans_model"))
     files.write_table(labelled.drop("features"), _out(out_dir, "segmented_trips"))
     num = list(TRIP_MEANS)
     files.write_table(customers.segment_summary(labelled, "trip_segment", num, prefix="avg_"),
@@ -164,8 +165,9 @@ def run_customer_segmentation_job(spark, clean_dir: str, out_dir: str, k: int =
 
     files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
     trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
-    cust, _, _ = segment.segment_customers(trips, k=k, seed=seed)
+    cust, model, _ = segment.segment_customers(trips, k=k, seed=seed)
     cust = cust.persist(StorageLevel.MEMORY_AND_DISK)
+    model.write().overwrite().save(_out(out_dir, "kmeans_model"))
     files.write_table(cust.drop("features"), _out(out_dir, "segmented_customers"))
     files.write_table(customers.trips_with_segment(trips, cust), _out(out_dir, "trips_with_customer_segment"))
     feats = list(customers.CUSTOMER_FEATURES)
@@ -195,11 +197,12 @@ def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sa
 def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = None, log_target: bool = False,
                      models=("baseline_last", "baseline_weekly", "additive_log1p", "fourier_log1p"),
                      metrics_version: str = "v2", horizon: int = 168, freq: str = "hour",
-                     ts: str = "datetime") -> None:
+                     ts: str = "datetime", future_model: str = "additive") -> None:
     """§3.3: hourly series (global or per ``series``), split, all models, metrics, future.
 
     ``series=None`` is the global job; ``series="vehicle_type", log_target=True,
-    metrics_version="v1"`` reproduces the per-vehicle job (log scale, 1e-6 MAPE floor)."""
+    metrics_version="v1"`` reproduces the per-vehicle job (log scale, 1e-6 MAPE floor).  The forecasts
+    carry bounds and each series' fit status; ``future_model`` is the model of the future (FC6)."""
     from ridelens.operators import forecast as fc
     from ridelens.operators import metrics as me
     from ridelens.sources import files
@@ -213,14 +216,14 @@ def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = N
         hourly = se.log_demand(hourly)
     split = cut_lineage(se.time_split(se.drop_null_target(hourly), freq=freq))
     files.write_by_series(split.select(se.SERIES, "ds", "y"), _out(out_dir, "hourly"))
-    forecasts = fc.run_forecasts(split, models, freq=freq)
+    forecasts = fc.run_forecasts(split, models, freq=freq, bounds=True)
     files.write_by_series(forecasts, _out(out_dir, "forecasts"))
     metrics = me.forecast_metrics(forecasts, version=metrics_version)
     files.write_table(metrics, _out(out_dir, "metrics"), "csv")
     files.write_json(metrics, _out(out_dir, "metrics_json"))
     # the future is in orders: a log series goes back to orders, and the model takes its logarithm itself
     orders = split.withColumn("y", F.expm1("y")) if log_target else split
-    files.write_by_series(fc.forecast_future(orders, horizon=horizon, log=True, freq=freq),
+    files.write_by_series(fc.forecast_future(orders, horizon=horizon, log=True, freq=freq, model=future_model),
                           _out(out_dir, "future"))
 
 

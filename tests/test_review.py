@@ -117,3 +117,46 @@ def test_customer_vector_is_standardised(spark):
     at = present.index("avg_booking_value")
     values = [r.features[at] for r in out.collect()]
     assert sum(values) == pytest.approx(0, abs=1e-9) and sum(v * v for v in values) / len(values) == pytest.approx(1)
+
+
+def test_silhouette_equals_all_pairs_on_a_small_table(spark):
+    import numpy as np
+    from ridelens.operators import segment
+    rng = np.random.default_rng(3)
+    x, lab = rng.normal(size=(30, 3)), np.arange(30) % 3
+    df = spark.createDataFrame([(row.tolist(), int(k)) for row, k in zip(x, lab)] + [(None, 1), ([0.0] * 3, None)], "v array<double>, k int")
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    scores = []
+    for i in range(30):
+        own = d[i][(lab == lab[i]) & (np.arange(30) != i)].mean()
+        other = min(d[i][lab == k].mean() for k in set(lab.tolist()) - {lab[i]})
+        scores.append((other - own) / max(own, other))
+    assert abs(segment.silhouette(df, "v", "k").first()[0] - np.mean(scores)) < 1e-9
+    assert segment.silhouette(df.where("k = 1"), "v", "k").first()[0] is None
+
+
+def test_all_models_carry_bounds_and_status_and_a_failed_series_leaves_the_others(spark):
+    from ridelens.operators import forecast as fc
+    from ridelens.operators import series as se
+    rows = [("a", f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00", float(5 + h % 24)) for h in range(240)]
+    rows += [("one", "2024-01-01 00:00:00", 3.0), ("one", "2024-01-01 01:00:00", 4.0)]
+    hourly = spark.createDataFrame(rows, "series string, ds string, y double").withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    split = se.time_split(hourly, ratio=0.5)
+    out = fc.run_forecasts(split, ["baseline_last", "additive"], bounds=True).collect()
+    by = {}
+    for r in out:
+        by.setdefault((r.series, r.model), set()).add(r.status)
+    assert by[("a", "additive")] == {"ok"} and by[("a", "baseline_last")] == {"ok"}
+    assert by[("one", "additive")] == {"failed"}
+    assert all(r.y_lower <= r.y_pred <= r.y_upper for r in out if (r.series, r.model) == ("a", "additive"))
+    assert all(r.y_lower is None for r in out if r.model == "baseline_last")
+
+
+def test_future_by_the_fourier_model_continues_the_daily_shape(spark):
+    from ridelens.operators import forecast as fc
+    from ridelens.operators import series as se
+    rows = [("a", f"2024-01-{1 + h // 24:02d} {h % 24:02d}:00:00", 20.0 + (10 if 8 <= h % 24 < 20 else 0)) for h in range(24 * 21)]
+    hourly = spark.createDataFrame(rows, "series string, ds string, y double").withColumn("ds", F.col("ds").cast("timestamp_ntz"))
+    fut = fc.forecast_future(se.time_split(hourly), horizon=24, model="fourier").orderBy("ds").collect()
+    assert len(fut) == 24 and all(0 <= r.yhat_lower <= r.yhat <= r.yhat_upper for r in fut)
+    assert fut[14].yhat > fut[2].yhat + 5
