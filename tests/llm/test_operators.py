@@ -351,3 +351,23 @@ def test_license_scan(docs, nothing):
     assert any("cc-by-nc-4.0" in r.labels for r in rows) and all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) or not r.base_labels for r in rows)
     assert all(0 <= r.score <= 1 and (r.score > 0) == bool(r.labels) for r in rows)
     assert scan_licenses(nothing).count() == 0
+
+
+def _shingles(line):
+    return {line[k:k + 5] for k in range(max(1, len(line) - 4))}
+
+
+def test_lines_around_one_base(spark):
+    r = random.Random(5)
+    base = "q" + "".join(r.choice("abcdefghijklmnop") for _ in range(118)) + "q"
+    lines = [base]
+    for _ in range(150):  # each near the base, but many not near each other
+        w = list(base)
+        for _ in range(2):
+            w[r.randrange(120)] = r.choice("0123456789")
+        lines.append("".join(w))
+    sets = [_shingles(x) for x in lines]
+    assert all(100 * len(sets[0] & s) >= 80 * len(sets[0] | s) for s in sets)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = line_dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(g.doc_id for g in got if not g.n_removed) == [0]
