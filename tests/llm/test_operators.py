@@ -371,3 +371,34 @@ def test_lines_around_one_base(spark):
     rows = [(i, x) for i, x in enumerate(lines)]
     got = line_dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert sorted(g.doc_id for g in got if not g.n_removed) == [0]
+
+
+def test_short_and_edited_lines(spark):
+    r = random.Random(11)
+    say = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n - 2))
+    lines = ["-" * n for n in (6, 9, 40, 300)] + ["ha " * 5 + "h", "ha " * 90 + "h", "ab", "abc", "".join(r.choice("01") for _ in range(900)),
+                                                  "".join(r.choice("01") for _ in range(900))]
+    for n in (9, 13, 14, 16, 20, 25, 35, 42, 48, 55):  # one character changed at the end, one in the middle
+        for _ in range(4):
+            base = "x" + say(n) + "x"
+            lines += [base, base[:-1] + "7", base[:n // 2] + "8" + base[n // 2 + 1:]]
+    for n in (70, 120, 150, 170, 400):  # edits spread over the line, as many as the threshold allows
+        for _ in range(6):
+            base = "x" + say(n) + "x"
+            w, k = list(base), (n - 4) // 45
+            for j in range(k):
+                w[(2 * j + 1) * n // (2 * k)] = "9"
+            lines += [base, "".join(w)]
+    sets = [_shingles(x) for x in lines]
+    low = list(range(len(lines)))
+
+    def find(i):
+        while low[i] != i:
+            i = low[i]
+        return i
+    near = [(a, b) for a in range(len(lines)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for a, b in near:
+        low[max(find(a), find(b))] = min(find(a), find(b))
+    assert len(near) > 60
+    got = line_dedup_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect()
+    assert {g.doc_id for g in got if not g.n_removed} == {find(i) for i in range(len(lines))}
