@@ -2,9 +2,10 @@
 
 A template's distinct words are ordered by how often they occur in all documents, rarest first.  A
 block that holds at least the share ``threshold`` of them holds one of the first
-``size - need + 1`` (prefix filter), has at least ``need`` words (length filter), and after the first
-matching word at rank ``i`` only ``size - i`` matches are left (positional filter).  So only
-blocks around a prefix word are looked at, and every block that meets the threshold is found.
+``size - need + 1`` (prefix filter; with that its first matching word at rank ``i`` leaves room for the
+``need`` matches, the positional filter) and has at least ``need`` of them (length filter).  So only
+blocks with a prefix word are counted; one starts at every template word, and every block that
+meets the threshold is found.
 """
 
 from __future__ import annotations
@@ -80,37 +81,35 @@ class _Template:
         self.ranked = np.array(h, np.uint64)
         self.prefix = self.ranked[:self.size - self.need + 1]
         self.block = 2 * len(_words(text))
-        self.step = len(_words(text))
 
 
-def _find_blocks(template: _Template, h: np.ndarray, at: np.ndarray, rank: np.ndarray, owner: np.ndarray, offsets: np.ndarray):
+def _find_blocks(template: _Template, at: np.ndarray, rank: np.ndarray, owner: np.ndarray, offsets: np.ndarray):
     """``(text, first word, matches)`` of each block that holds enough of the template's words.
 
-    ``at`` are the positions of the template's words, ``rank`` their ranks.  Blocks are ``block`` words
-    from every ``step``-th word of a text on (shorter at its end).
+    ``at`` are the positions of the template's words, ``rank`` their ranks.  A block of ``block`` words (shorter at
+    its text's end) starts at each of these positions, so no passage is lost by its place.
     """
-    first = rank < len(template.prefix)
-    text = owner[first]
-    local = at[first] - offsets[text]
-    slots = []
-    for back in range((template.block + template.step - 1) // template.step):
-        slot = local // template.step - back
-        ok = (slot >= 0) & (slot * template.step + template.block > local)
-        slots.append(np.stack([text[ok], slot[ok]], axis=1))
-    if not slots or not sum(len(s) for s in slots):
-        return
-    for i, slot in np.unique(np.concatenate(slots), axis=0).tolist():
-        begin = int(offsets[i]) + slot * template.step
-        end = min(begin + template.block, int(offsets[i + 1]))
-        if end - begin < template.need:  # length filter
-            continue
-        lo, hi = np.searchsorted(at, [begin, end])
-        if hi - lo < template.need:
-            continue
-        ranks = np.unique(rank[lo:hi])
-        if template.size - int(ranks[0]) < template.need or len(ranks) < template.need:  # positional filter, exact count
-            continue
-        yield i, slot * template.step, len(ranks)
+    first = np.flatnonzero(rank < len(template.prefix))
+    stop = np.minimum(at + template.block, offsets[owner + 1])
+    end = np.searchsorted(at, stop)
+    # prefix filter: a prefix word in the block; length filter: enough hits in it
+    ahead = np.searchsorted(first, np.arange(len(at)))
+    near = np.append(first, len(at))[ahead] < end
+    starts = np.flatnonzero(near & (end - np.arange(len(at)) >= template.need))
+    count, distinct, lo, hi = np.zeros(template.size, np.int64), 0, 0, 0
+    for k in starts.tolist():
+        if k >= hi:  # nothing is shared with the block before
+            count[:], distinct, lo, hi = 0, 0, k, k
+        while hi < end[k]:
+            distinct += count[rank[hi]] == 0
+            count[rank[hi]] += 1
+            hi += 1
+        while lo < k:
+            count[rank[lo]] -= 1
+            distinct -= count[rank[lo]] == 0
+            lo += 1
+        if distinct >= template.need:
+            yield int(owner[k]), int(at[k] - offsets[owner[k]]), int(distinct)
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9) -> DataFrame:
@@ -119,8 +118,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9)
 
     Base places are where the words of a phrase of ``PHRASES`` stand consecutively.  ``blocks`` lists
     every block (label, first word, containment) that holds at least ``threshold`` of a template's
-    distinct words; a template's blocks are twice its length and start at every multiple of its
-    length.  ``labels`` joins base labels and blocks' labels; ``score`` is the largest containment, 1
+    distinct words; a template's blocks are twice its length and start at each of its words in the
+    text.  ``labels`` joins base labels and blocks' labels; ``score`` is the largest containment, 1
     with a base place, 0 without any.  Null and empty texts have no words and no labels; a null id
     stays null; repeated rows give equal rows; other columns are ignored; an empty table gives an
     empty result.
@@ -166,7 +165,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.9)
                 hit = t.ranked[order][place] == ha
                 rank = order[place[hit]]
                 if (rank < len(t.prefix)).any():
-                    for i, word, matches in _find_blocks(t, h, at[hit], rank, owner[hit], offsets):
+                    for i, word, matches in _find_blocks(t, at[hit], rank, owner[hit], offsets):
                         found[i].append({"label": t.label, "first_word": word, "containment": matches / t.size})
             none = n_base == 0
             values = [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(n_base), pa.array(first, mask=none),

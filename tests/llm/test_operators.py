@@ -14,7 +14,7 @@ import pytest
 from ridelens.llm.ann import chi_square_cdf, nearest_neighbours
 from ridelens.llm.decontaminate import common_subsequence, contaminated
 from ridelens.llm.graph import components, may_contain, membership
-from ridelens.llm.license_scan import scan_licenses
+from ridelens.llm.license_scan import TEMPLATES, scan_licenses
 from ridelens.llm.line_dedup import dedup_lines, line_dedup_report
 from ridelens.llm.lm import context_tree_scores
 from ridelens.llm.mixing import mix_sources
@@ -402,3 +402,27 @@ def test_short_and_edited_lines(spark):
     assert len(near) > 60
     got = line_dedup_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)).collect()
     assert {g.doc_id for g in got if not g.n_removed} == {find(i) for i in range(len(lines))}
+
+
+def test_license_blocks_at_all_places(spark):
+    def words(t):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+
+    long = next(t for label, t in TEMPLATES if label == "bsd")
+    notices = ["Licensed under the terms of the MIT License", "Licensed under the terms of CC BY NC 4.0", long.replace("source", "their source"),
+               "Released under the MIT License. Released by us under the the MIT License"]
+    rows = [(i, "word " * shift + notice + " of the end" * (i % 3)) for i, (notice, shift) in
+            enumerate((n, s) for n in notices for s in range(24))] + [(900, None), (901, "the the the under")]
+    want = {}
+    for i, text in rows:
+        w, want[i] = words(text or ""), []
+        for label, template in TEMPLATES:
+            t = words(template)
+            need = math.ceil(0.9 * len(set(t)) - 1e-9)
+            for k in range(len(w)):
+                n = len(set(w[k:k + 2 * len(t)]) & set(t))
+                if w[k] in t and n >= need:
+                    want[i].append((label, k, round(n / len(set(t)), 9)))
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {g.doc_id: sorted((b.label, b.first_word, round(b.containment, 9)) for b in g.blocks) for g in got} == {i: sorted(w) for i, w in want.items()}
+    assert all("mit" in g.labels for g in got if g.doc_id < 24) and all("cc-by-nc-4.0" in g.labels for g in got if 24 <= g.doc_id < 48)
