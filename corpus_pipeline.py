@@ -32,16 +32,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id.
+    """One row of each group of near duplicates, that of the smallest id (null last), then of the smallest text hash.
 
-    Of rows with equal id the one with the smallest text hash stays; rows without an id all stay.
+    Rows are told apart by id and text; repeated rows are one.
     """
-    key = F.xxhash64("text")
-    group = ngram_jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    first = docs.groupBy("doc_id").agg(F.min(key).alias("text_key")).join(group, "doc_id")
-    kept = docs.join(first.withColumnRenamed("doc_id", "d"), (F.col("doc_id") == F.col("d")) & (key == F.col("text_key")))
-    kept = kept.select(*docs.columns).dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    parts = ngram_jaccard_join(rows.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    placed = rows.select("row_key", "doc_id", F.xxhash64("text").alias("text_key")).join(parts, "row_key")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "row_key")
+    kept = placed.groupBy("component_id").agg(F.min(order).alias("low")).select(F.col("low.row_key").alias("kept_key"))
+    kept = rows.join(kept, F.col("row_key") == F.col("kept_key"), "left_semi")
+    return kept.dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from corpus_pipeline import near_duplicates
 from ridelens.llm.ann import chi_square_cdf, nearest_neighbours
 from ridelens.llm.decontaminate import common_subsequence, contaminated
 from ridelens.llm.graph import components, may_contain, membership
@@ -426,3 +427,10 @@ def test_license_blocks_at_all_places(spark):
     got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {g.doc_id: sorted((b.label, b.first_word, round(b.containment, 9)) for b in g.blocks) for g in got} == {i: sorted(w) for i, w in want.items()}
     assert all("mit" in g.labels for g in got if g.doc_id < 24) and all("cc-by-nc-4.0" in g.labels for g in got if 24 <= g.doc_id < 48)
+
+
+def test_pipeline_rows_of_equal_or_null_id(spark):
+    a, b, c = (_text(60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " more"), (None, c), (None, c), (None, b), (3, None), (None, None)]
+    got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert Counter((g.doc_id, g.text) for g in got) == Counter([(1, a), (1, b), (None, c), (3, None), (None, None)])
