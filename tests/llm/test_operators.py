@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corpus_pipeline import near_duplicates
+from corpus_pipeline import mixture, near_duplicates
 from ridelens.llm.ann import chi_square_cdf, nearest_neighbours
 from ridelens.llm.decontaminate import common_subsequence, contaminated
 from ridelens.llm.graph import components, may_contain, membership
@@ -434,3 +434,9 @@ def test_pipeline_rows_of_equal_or_null_id(spark):
     rows = [(1, a), (1, b), (2, a + " more"), (None, c), (None, c), (None, b), (3, None), (None, None)]
     got = near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert Counter((g.doc_id, g.text) for g in got) == Counter([(1, a), (1, b), (None, c), (3, None), (None, None)])
+
+
+def test_pipeline_mixture_rows(spark, docs):
+    got = mixture(spark, docs, "").collect()
+    key = lambda rows: Counter((r.doc_id, r.source, r.copies) for r in rows)
+    assert key(got) == key(r for r in mix_sources(docs).collect() if r.copies) and 0 < len(got) < len(ROWS)
