@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ridelens.functions.strings import string_columns
 from ridelens.operators.clean import PROTECTED, SCALED_NUMERIC, is_numeric
-from ridelens.operators.quantiles import quantiles
+from ridelens.operators.quantiles import filled_quartiles, quantiles
 
 
 # ---------------------------------------------------------------------------- IM6 / IM7
@@ -99,14 +99,11 @@ def profile(df: DataFrame, col: str, method: str = "exact") -> DataFrame:
 # ---------------------------------------------------------------------------- FE4 / FE5
 def fit_robust(df: DataFrame, cols: Sequence[str], method: str = "exact") -> dict[str, tuple[float, float]]:
     """FE4: centre = median, scale = q75 - q25 (0 -> 1)."""
-    qs = quantiles(df, cols, [0.25, 0.5, 0.75], method)
-    out = {}
-    for c, (q1, med, q3) in qs.items():
-        if med is None:
-            continue
-        iqr = q3 - q1
-        out[c] = (med, iqr if iqr != 0 else 1.0)
-    return out
+    return _robust(quantiles(df, cols, [0.25, 0.5, 0.75], method))
+
+
+def _robust(quartiles: Mapping[str, Sequence[float | None]]) -> dict[str, tuple[float, float]]:
+    return {c: (med, (q3 - q1) or 1.0) for c, (q1, med, q3) in quartiles.items() if med is not None}
 
 
 def fit_standard(df: DataFrame, cols: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -263,14 +260,14 @@ def fit_encoder(df: DataFrame, groups: Mapping[str, list[str]] | None = None, me
 
     A column without any value is left out of the vector and of the names."""
     g = dict(groups or group_columns(df))
-    medians = fit_median(df, g["scaled"], method)
+    quartiles = filled_quartiles(df, g["scaled"], method)  # imputer and scaler from one search
+    medians = {c: v[0] for c, v in quartiles.items()}
     modes = fit_mode(df, [*g["categorical"], *g["passthrough"]])
     enc = Encoder(scaled=[c for c in g["scaled"] if medians.get(c) is not None],
                   categorical=[c for c in g["categorical"] if modes.get(c) is not None],
                   passthrough=[c for c in g["passthrough"] if modes.get(c) is not None])
     enc.medians = {c: medians[c] for c in enc.scaled}
-    filled = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in enc.medians.items()})
-    enc.robust = fit_robust(filled, enc.scaled, method) if enc.scaled else {}
+    enc.robust = _robust({c: quartiles[c][1:] for c in enc.scaled})
     enc.modes_cat = {c: modes[c] for c in enc.categorical}
     enc.modes_pass = {c: modes[c] for c in enc.passthrough}
     if enc.categorical:
