@@ -1,6 +1,6 @@
 """Command line for the end-to-end jobs: ``python -m ridelens <job> ...``.
 
-    python -m ridelens clean RAW_CSV OUT_DIR
+    python -m ridelens clean RAW_CSV OUT_DIR [--date-format 'd/M/yyyy H:mm:ss']
     python -m ridelens segment-trips CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens segment-customers CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8] [--completed-only] [--min-value X]
@@ -33,13 +33,14 @@ def main(argv: list[str] | None = None) -> None:
                    help="v2: MAPE over y > 0 + sMAPE (global default); v1: MAPE with the 1e-6 floor")
     p.add_argument("--models", default=None,
                    help="comma list of baseline_last, baseline_weekly, additive, additive_log1p, fourier, fourier_log1p")
+    p.add_argument("--date-format", default=None, help="pattern of the booking times besides ISO; found in the data if not given")
     a = p.parse_args(argv)
     spark = SparkSession.getActiveSession()
     if spark is None:
         from ridelens.session import local_session
         spark = local_session()
     if a.job == "clean":
-        jobs.run_clean_job(spark, a.src, a.out)
+        jobs.run_clean_job(spark, a.src, a.out, formats=[a.date_format] if a.date_format else None)
     elif a.job == "segment-trips":
         jobs.run_trip_segmentation_job(spark, a.src, a.out, k=a.k, completed_only=a.completed_only,
                                        min_value=a.min_value)

@@ -23,16 +23,30 @@ class CleanArtifacts:
     cast_profile: dict = field(default_factory=dict)
     caps: dict = field(default_factory=dict)
     rare: dict = field(default_factory=dict)
+    date_formats: list = field(default_factory=list)
 
 
-def prepare_bookings(raw: DataFrame, order_col: str = "seq") -> DataFrame:
+def date_formats(raw: DataFrame) -> list[str]:
+    """The format of the booking times besides ISO, found in all rows of the raw table's date and time; at most one."""
+    df = strings.snake_columns(raw)
+    df = df.select([c for c in ("date", "time") if c in df.columns])
+    if "date" not in df.columns:
+        return []
+    df = strings.strip_quotes(strings.normalize_nulls(df))
+    found = dates.infer_format(df, dates.booking_text(df))
+    return [] if found is None else [found]
+
+
+def prepare_bookings(raw: DataFrame, order_col: str = "seq", formats: list[str] | None = None) -> DataFrame:
     """Cleaning up to the first data-dependent step: names, null tokens, quotes, datetime,
     calendar features, dedup on booking_id (first in ``order_col`` order) and status flags.
 
     Every step but the dedup is a function of the row's own values, so the dedup runs first,
     keyed on the *normalised* booking id: the result is the same as in the reference's order,
     the aggregate carries the raw text, and the string and date work runs after the shuffle on
-    the surviving rows, spread over the shuffle partitions instead of the scan's."""
+    the surviving rows, spread over the shuffle partitions instead of the scan's.  ``formats`` pins the
+    formats of the booking times; without, one job over the raw date and time columns finds them."""
+    formats = date_formats(raw) if formats is None else formats
     df = strings.snake_columns(raw)
     if "booking_id" in df.columns:
         key = F.regexp_replace(strings.null_token(F.col("booking_id")), '^"|"$', "")
@@ -40,7 +54,7 @@ def prepare_bookings(raw: DataFrame, order_col: str = "seq") -> DataFrame:
         df = clean.dedup(df.withColumn("_bid", key), ["_bid"], order).drop("_bid")
     df = strings.normalize_nulls(df)
     df = strings.strip_quotes(df)
-    df = dates.parse_datetime(df)
+    df = dates.parse_datetime(df, formats=formats)
     df = dates.calendar_features(df)
     if order_col in df.columns:
         df = df.drop(order_col)
@@ -65,10 +79,11 @@ def scaled_columns(df: DataFrame) -> list[str]:
 
 
 def clean_bookings(raw: DataFrame, cast_decision: dict | None = None, quantile_method: str = "exact",
-                   persist: bool = True, order_col: str = "seq") -> tuple[DataFrame, CleanArtifacts]:
+                   persist: bool = True, order_col: str = "seq", formats: list[str] | None = None) -> tuple[DataFrame, CleanArtifacts]:
     """Whole cleaning job in the reference's order: null tokens before parsing,
     dedup before flags, cast before imputation, cap before the rare collapse."""
-    df = prepare_bookings(raw, order_col)
+    formats = date_formats(raw) if formats is None else formats
+    df = prepare_bookings(raw, order_col, formats)
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df, profile = impute_bookings(df, cast_decision)
@@ -76,7 +91,7 @@ def clean_bookings(raw: DataFrame, cast_decision: dict | None = None, quantile_m
     df = clean.apply_caps(df, caps)
     rare = clean.fit_rare(df, clean.rare_fracs(category_columns(df)))
     df = clean.apply_rare(df, rare)
-    return df, CleanArtifacts(profile, caps, rare)
+    return df, CleanArtifacts(profile, caps, rare, formats)
 
 
 def demand_split(df: DataFrame, ts: str = "datetime", series: str | None = "vehicle_type", freq: str = "hour",
@@ -108,15 +123,16 @@ def _out(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}"
 
 
-def run_clean_job(spark, raw_path: str, out_dir: str, fmt: str = "parquet") -> CleanArtifacts:
-    """§3.1: raw CSV (all text) -> cleaned table + fitted encoder + feature names."""
+def run_clean_job(spark, raw_path: str, out_dir: str, fmt: str = "parquet", formats: list[str] | None = None) -> CleanArtifacts:
+    """§3.1: raw CSV (all text) -> cleaned table + fitted encoder + feature names.  ``formats`` pins the formats of the
+    booking times (none: found in the data and written to ``date_formats``)."""
     import json
 
     from ridelens.operators import encode
     from ridelens.sources import files
 
     raw = files.read_raw(spark, raw_path, position=FILE_ORDER)
-    cleaned, art = clean_bookings(raw, order_col=FILE_ORDER)
+    cleaned, art = clean_bookings(raw, order_col=FILE_ORDER, formats=formats)
     files.write_table(cleaned, _out(out_dir, "cleaned"), fmt)
     enc = encode.fit_encoder(cleaned)
     enc.save(_out(out_dir, "encoder"))
@@ -124,6 +140,8 @@ def run_clean_job(spark, raw_path: str, out_dir: str, fmt: str = "parquet") -> C
     files.write_json(names.coalesce(1), _out(out_dir, "feature_names"))
     spark.createDataFrame([(json.dumps(art.cast_profile),)], "profile string").coalesce(1).write.mode(
         "overwrite").text(_out(out_dir, "cast_profile"))
+    spark.createDataFrame([(f,) for f in art.date_formats], "format string").coalesce(1).write.mode("overwrite").text(
+        _out(out_dir, "date_formats"))
     return art
 
 

@@ -170,6 +170,28 @@ def q_calendar_features(spark, sf_dir):
                      "is_peak", "time_of_day")
 
 
+@register("date_formats", "SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) AS month_first, CAST(o_orderdate AS TIMESTAMP) AS day_first, "
+          "CAST(o_orderdate AS TIMESTAMP) AS named, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 13 HOUR AS clocked FROM orders")
+def q_date_formats(spark, sf_dir):
+    """DT1: order dates as text in four spellings; each column's format is found in its rows."""
+    day = F.col("o_orderdate")
+    text = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format(day, "MM/dd/yyyy").alias("month_first"), F.date_format(day, "dd/MM/yyyy HH:mm:ss").alias("day_first"),
+        F.date_format(day, "d MMMM yyyy").alias("named"), F.concat(F.date_format(day, "d.M.yyyy"), F.lit(" 1:00 PM")).alias("clocked"))
+    for c in text.columns[1:]:
+        text = dates.parse_datetime(text, date=c, time="", out=c + "_read").withColumnRenamed(c + "_read", c)
+    return text
+
+
+@register("column_types", "SELECT * FROM (VALUES ('event_id', 'bigint'), ('ts', 'timestamp_ntz'), ('user_id', 'bigint'), ('event_type', 'string'), "
+          "('value', 'double')) AS t(column_name, kind)")
+def q_column_types(spark, sf_dir):
+    """IO2: the types of ``events`` read as text, found in all its rows."""
+    from ridelens.sources import files
+    events = table(spark, sf_dir, "events").select(*[F.col(c).cast("string").alias(c) for c in ("event_id", "ts", "user_id", "event_type", "value")])
+    return spark.createDataFrame(list(files.column_types(events).items()), "column_name string, kind string")
+
+
 @register("dedup_bookings", _PREP_SQL + "\nSELECT * FROM fl")
 def q_dedup_bookings(spark, sf_dir):
     """FL1-FL4: dedup on booking_id (smallest seq wins) after names/nulls/dates, then status flags."""

@@ -32,13 +32,45 @@ def read_raw(spark: SparkSession, path: str, columns: Iterable[str] | None = Non
                                     F.monotonically_increasing_id().alias("row")).alias(position))
 
 
-def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet") -> DataFrame:
-    """IO2 / IO3: the cleaned table with a declared schema (Parquet keeps the types; CSV needs
-    ``schema`` so ``datetime`` comes back as a timestamp)."""
+# Types that a text column may have, the narrowest first: Spark type and the text that fits it.
+_FITS = (
+    ("bigint", lambda c: c.rlike(r"^[+-]?\d{1,18}$")),
+    ("double", lambda c: c.rlike(r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))$")),
+    ("boolean", lambda c: F.lower(c).isin("true", "false")),
+    ("timestamp_ntz", lambda c: c.rlike(r"^\d{4}-\d{1,2}-\d{1,2}") & c.try_cast("timestamp_ntz").isNotNull()),
+)
+
+
+def column_types(raw: DataFrame) -> dict[str, str]:
+    """The type of each text column: the narrowest that fits all its values, from one aggregate over all rows.  A column
+    without values stays text."""
+    cols = [f.name for f in raw.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not cols:
+        return {}
+    row = list(raw.agg(*[e for c in cols for e in (F.count(F.col(f"`{c}`")), *(F.count_if(fits(F.col(f"`{c}`"))) for _, fits in _FITS))]).first())
+    out, width = {}, 1 + len(_FITS)
+    for i, c in enumerate(cols):
+        n, *fit = row[i * width:(i + 1) * width]
+        out[c] = next((kind for (kind, _), k in zip(_FITS, fit) if n and k == n), "string")
+    return out
+
+
+def cast_columns(raw: DataFrame, types: dict[str, str]) -> DataFrame:
+    """Text columns as the given types; text that does not fit becomes null."""
+    return raw.select(*[(F.col(f"`{c}`").try_cast(types[c]) if types.get(c, "string") != "string" else F.col(f"`{c}`")).alias(c)
+                        for c in raw.columns])
+
+
+def read_clean(spark: SparkSession, path: str, schema: T.StructType | None = None, fmt: str = "parquet",
+               types: dict[str, str] | None = None) -> DataFrame:
+    """IO2 / IO3: the cleaned table.  Parquet keeps its types; a CSV is read with ``schema``, or as text whose ``types`` may be
+    pinned and else come from ``column_types``, so ``datetime`` is a timestamp again."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema is not None else reader.option("inferSchema", True)).csv(path)
+    if schema is not None:
+        return spark.read.option("header", True).schema(schema).csv(path)
+    raw = read_raw(spark, path)
+    return cast_columns(raw, column_types(raw) if types is None else types)
 
 
 def require(spark: SparkSession, paths: Iterable[str], job: str) -> None:
