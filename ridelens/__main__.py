@@ -3,7 +3,7 @@
     python -m ridelens clean RAW_CSV OUT_DIR [--date-format 'd/M/yyyy H:mm:ss']
     python -m ridelens segment-trips CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens segment-customers CLEAN_DIR OUT_DIR [--k 3]
-    python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8] [--completed-only] [--min-value X]
+    python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8] [--completed-only] [--min-value X] [--fast] [--sample 0.1]
     python -m ridelens forecast-global CLEAN_DIR OUT_DIR [--metrics v1|v2] [--models a,b,...]
     python -m ridelens forecast-vehicle CLEAN_DIR OUT_DIR
 
@@ -29,6 +29,10 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--max-k", type=int, default=8)
     p.add_argument("--completed-only", action="store_true")
     p.add_argument("--min-value", type=float, default=None)
+    p.add_argument("--fast", action="store_true", help="mini-batch k-means for the choice of k")
+    p.add_argument("--sample", type=float, default=None, help="share of the rows for the choice of k; all without it")
+    p.add_argument("--horizon", type=int, default=168, help="steps of the future forecast")
+    p.add_argument("--future-model", choices=["additive", "fourier"], default="additive")
     p.add_argument("--metrics", choices=["v1", "v2"], default=None,
                    help="v2: MAPE over y > 0 + sMAPE (global default); v1: MAPE with the 1e-6 floor")
     p.add_argument("--models", default=None,
@@ -48,15 +52,16 @@ def main(argv: list[str] | None = None) -> None:
         jobs.run_customer_segmentation_job(spark, a.src, a.out, k=a.k)
     elif a.job == "evaluate-k":
         jobs.run_k_evaluation_job(spark, a.src, a.out, max_k=a.max_k, completed_only=a.completed_only,
-                                  min_value=a.min_value)
+                                  min_value=a.min_value, fast=a.fast, sample_fraction=a.sample)
     elif a.job == "forecast-global":
         models = tuple(a.models.split(",")) if a.models else ("baseline_last", "baseline_weekly", "additive_log1p",
                                                               "fourier_log1p")
-        jobs.run_forecast_job(spark, a.src, a.out, models=models, metrics_version=a.metrics or "v2")
+        jobs.run_forecast_job(spark, a.src, a.out, models=models, metrics_version=a.metrics or "v2", horizon=a.horizon,
+                              future_model=a.future_model)
     else:
         models = tuple(a.models.split(",")) if a.models else ("baseline_last", "additive", "fourier")
         jobs.run_forecast_job(spark, a.src, a.out, series="vehicle_type", log_target=True, models=models,
-                              metrics_version=a.metrics or "v1")
+                              metrics_version=a.metrics or "v1", horizon=a.horizon, future_model=a.future_model)
 
 
 if __name__ == "__main__":

@@ -1,10 +1,10 @@
 """Segmentation: k-means fits and the measures around them (SG1-SG10).
 
-* Fitting uses ``spark.ml`` ``KMeans`` (k-means||) on a persisted vector frame; best of
-  ``n_init`` seeds by training cost.  Segments are renumbered by size (largest = 0) so runs
+* Fitting runs every start (and every k) in the same passes over a persisted vector frame (``kmeans``); the
+  best start by cost stands.  Segments are renumbered by size (largest = 0) so runs
   compare; the reference keeps arbitrary labels.
-* Centres are k x d numbers: they are the only thing collected, and are inlined as array
-  literals (bounded by k and the feature count, never by the rows).
+* Centres are k x d numbers: they are the only thing collected (bounded by k and the feature
+  count, never by the rows).
 * Silhouette (SG4) is the linear squared-Euclidean form of ``ClusteringEvaluator``; the all-pairs
   Euclidean form is not built (it would emit every pair of rows).
 """
@@ -12,25 +12,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.operators import clean, customers, encode
+from ridelens.operators import clean, customers, encode, pca
+from ridelens.operators.kmeans import BATCHES, KMeansFit, fit_all, nearest_centre, silhouettes
+from ridelens.session import cut_lineage
 
 
 # ---------------------------------------------------------------------------- centres & distances
-def _sqdist(vec: Column, centre: Sequence[float]) -> Column:
-    lit = F.array(*[F.lit(float(x)) for x in centre])
-    return F.aggregate(F.zip_with(vec, lit, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def _as_vector(df: DataFrame, vec: str):
     return (array_to_vector(F.col(vec).cast("array<double>")) if dict(df.dtypes)[vec].startswith("array")
             else F.col(vec))
@@ -69,9 +64,9 @@ def collect_centres(long: DataFrame, label: str) -> dict[int, list[float]]:
 
 def assign(df: DataFrame, vec: str, centres: dict[int, list[float]], out: str = "segment") -> DataFrame:
     """SG10: nearest centre per row (squared Euclidean; ties -> smaller centre id)."""
-    pairs = [F.struct(_sqdist(F.col(vec).cast("array<double>"), c).alias("d"), F.lit(int(k)).alias("k"))
-             for k, c in sorted(centres.items())]
-    return df.withColumn(out, F.array_min(F.array(*pairs))["k"])
+    ids = sorted(centres)
+    place = nearest_centre(df, vec, [centres[i] for i in ids])
+    return df.withColumn(out, F.element_at(F.array(*[F.lit(int(i)) for i in ids]), place + 1))
 
 
 def centroid_range(centres_long: DataFrame, label: str = "label", n: int = 30,
@@ -114,25 +109,9 @@ def best_k(evaluation: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------------------- SG1 / SG2 / SG3 / SG5
 def fit_kmeans(x: DataFrame, k: int, features: str = "features", seed: int = 42, n_init: int = 10,
-               max_iter: int = 300, tol: float = 1e-4, init_steps: int = 2, parallelism: int = 8) -> KMeansModel:
-    """Best of ``n_init`` k-means|| fits (seeds ``seed .. seed + n_init - 1``) by training cost.
-
-    The starts are independent, so up to ``parallelism`` of them run as concurrent Spark jobs
-    (the scheduler shares the executors); ties in cost go to the smaller seed.  ``x`` should be
-    persisted: every fit is an iterative job over it."""
-    def fit(i: int) -> tuple[float, int, KMeansModel]:
-        km = KMeans(k=k, seed=seed + i, featuresCol=features, predictionCol="_pred", maxIter=max_iter, tol=tol,
-                    initSteps=init_steps)
-        model = km.fit(x)
-        return model.summary.trainingCost, i, model
-
-    workers = max(1, min(parallelism, n_init))
-    if workers == 1:
-        results = [fit(i) for i in range(n_init)]
-    else:
-        with ThreadPoolExecutor(max_workers=workers) as pool:
-            results = list(pool.map(fit, range(n_init)))
-    return min(results, key=lambda r: (r[0], r[1]))[2]
+               max_iter: int = 300, tol: float = 1e-4) -> KMeansFit:
+    """Best of ``n_init`` starts, all fitted in the same passes (``kmeans.fit_all``)."""
+    return fit_all(x, [k], features, seed, n_init, max_iter, tol)[k]
 
 
 def renumber_by_size(labelled: DataFrame, pred: str, out: str) -> DataFrame:
@@ -144,7 +123,7 @@ def renumber_by_size(labelled: DataFrame, pred: str, out: str) -> DataFrame:
 
 
 def segment_customers(trips: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10,
-                      key: str = "customer_id") -> tuple[DataFrame, KMeansModel, list[str]]:
+                      key: str = "customer_id") -> tuple[DataFrame, KMeansFit, list[str]]:
     """SG2: AG1 features -> median imputer (IM6) -> standard scaler (FE5) -> k-means.  The rows hold the
     features as they are, the imputed and scaled vector ``features`` and ``customer_segment``."""
     feats = customers.customer_features(trips, key)
@@ -158,18 +137,20 @@ def segment_customers(trips: DataFrame, k: int = 3, seed: int = 42, n_init: int
     x = x.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_kmeans(x, k, seed=seed, n_init=n_init)
     labelled = renumber_by_size(model.transform(x).select(key, "features", "_pred"), "_pred", "customer_segment")
-    out = feats.join(labelled, key)
+    out = cut_lineage(feats.join(labelled, key))
+    x.unpersist()
+    feats.unpersist()
     return out, model, present
 
 
 def segment_trips(df: DataFrame, k: int = 3, completed_only: bool = False, min_value: float | None = None,
                   seed: int = 42, n_init: int = 10, encoder: encode.Encoder | None = None,
-                  key: str = "booking_id") -> tuple[DataFrame, KMeansModel, encode.Encoder]:
+                  key: str = "booking_id") -> tuple[DataFrame, KMeansFit, encode.Encoder]:
     """SG1: filters (FL5/FL6) -> encoder (FE7) -> k-means -> ``trip_segment`` on every row."""
     rows = clean.segmentation_input(df, completed_only, min_value)
     enc = encoder or encode.fit_encoder(df)
-    x = enc.transform(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    model = fit_kmeans(x, k, seed=seed, n_init=n_init)
+    x = enc.transform(rows)
+    model = fit_kmeans(x, k, seed=seed, n_init=n_init)  # holds the vectors as long as it reads them
     labelled = renumber_by_size(model.transform(x), "_pred", "trip_segment")
     return labelled, model, enc
 
@@ -181,36 +162,19 @@ def sample_for_evaluation(x: DataFrame, fraction: float | None = None, seed: int
 
 def evaluate_k(x: DataFrame, ks: Sequence[int] = range(2, 9), features: str = "features", seed: int = 42,
                n_init: int = 10, fast: bool = False, sample_fraction: float | None = None) -> DataFrame:
-    """SG3 / SG5: inertia (training cost) and silhouette per k.  ``fast=True`` (the reference's
-    mini-batch option) uses 20 iterations and as many starts.  Result: ``k, inertia, silhouette``."""
-    x = sample_for_evaluation(x, sample_fraction, seed=seed).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    for k in ks:
-        model = fit_kmeans(x, k, features, seed, n_init, max_iter=20 if fast else 300)
-        sil = silhouette(model.transform(x), features, "_pred").first()["silhouette"]
-        rows.append((int(k), float(model.summary.trainingCost), sil))
-    x.unpersist()
+    """SG3 / SG5: inertia and silhouette per k, all starts and all k in the same passes over all rows.  ``fast=True`` fits by
+    mini-batches (each row moves the centres once).  Result: ``k, inertia, silhouette``."""
+    x = sample_for_evaluation(x, sample_fraction, seed=seed)
+    fits = fit_all(x, ks, features, seed, n_init, batches=BATCHES if fast else None)
+    measured = silhouettes(x, fits, features)
+    rows = [(int(k), f.cost, measured[k]) for k, f in fits.items()]
     return x.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
 # ---------------------------------------------------------------------------- SG8
 def pca_2d(df: DataFrame, vec: str, label: str | None = None) -> DataFrame:
-    """SG8: centred 2-D PCA coordinates (``pc1, pc2``), sign fixed so the largest loading is positive.
-
-    The mean vector comes from one ``Summarizer`` aggregate (d numbers, whatever the width);
-    ``ml.PCA`` aggregates a d x d covariance.  Spark's PCA does not centre on transform, so the
-    vectors are centred first."""
-    from pyspark.ml.stat import Summarizer
-
-    is_array = dict(df.dtypes)[vec].startswith("array")
-    v = array_to_vector(F.col(vec).cast("array<double>")) if is_array else F.col(vec)
-    base = df.withColumn("_v", v)
-    mean = base.select(Summarizer.mean(F.col("_v")).alias("m")).first()["m"].toArray()
-    centred = base.withColumn("_c", array_to_vector(F.zip_with(
-        vector_to_array("_v"), F.array(*[F.lit(float(x)) for x in mean]), lambda a, b: a - b)))
-    model = PCA(k=2, inputCol="_c", outputCol="_pc").fit(centred)
-    pc = model.pc.toArray()
-    signs = [1.0 if pc[abs(pc[:, j]).argmax(), j] >= 0 else -1.0 for j in range(2)]
-    out = model.transform(centred).withColumn("_p", vector_to_array("_pc"))
+    """SG8: centred 2-D PCA coordinates (``pc1, pc2``), sign fixed so the largest loading is positive; see ``pca``."""
+    mean, components, _ = pca.principal_components(df, vec)
+    out = df.withColumn("_p", pca.project(df, vec, mean, components, 2))
     keep = [label] if label else []
-    return out.select(*keep, (F.col("_p")[0] * signs[0]).alias("pc1"), (F.col("_p")[1] * signs[1]).alias("pc2"))
+    return out.select(*keep, F.col("_p")[0].alias("pc1"), F.col("_p")[1].alias("pc2"))

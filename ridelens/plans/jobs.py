@@ -156,7 +156,7 @@ def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, c
     enc = encode.Encoder.load(_out(clean_dir, "encoder"))
     labelled, model, enc = segment.segment_trips(cleaned, k, completed_only, min_value, seed, encoder=enc)
     labelled = labelled.persist(StorageLevel.MEMORY_AND_DISK)
-    model.write().overwrite().save(_out(out_dir, "kmeans_model"))
+    model.save(_out(out_dir, "kmeans_model"))
     files.write_table(labelled.drop("features"), _out(out_dir, "segmented_trips"))
     num = list(TRIP_MEANS)
     files.write_table(customers.segment_summary(labelled, "trip_segment", num, prefix="avg_"),
@@ -165,7 +165,7 @@ def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, c
         if col in labelled.columns:
             files.write_table(customers.crosstab_pct(labelled, "trip_segment", col), _out(out_dir, f"cluster_{col}"),
                               "csv")
-    cen = spark.createDataFrame([(int(c), int(d), float(v)) for c, centre in enumerate(model.clusterCenters())
+    cen = spark.createDataFrame([(int(c), int(d), float(v)) for c, centre in enumerate(model.centres)
                                  for d, v in enumerate(centre)], "label int, dim int, value double")
     files.write_table(segment.centroid_range(cen, "label", 30, enc.feature_names()),
                       _out(out_dir, "cluster_feature_importance"), "csv")
@@ -185,7 +185,7 @@ def run_customer_segmentation_job(spark, clean_dir: str, out_dir: str, k: int =
     trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
     cust, model, _ = segment.segment_customers(trips, k=k, seed=seed)
     cust = cust.persist(StorageLevel.MEMORY_AND_DISK)
-    model.write().overwrite().save(_out(out_dir, "kmeans_model"))
+    model.save(_out(out_dir, "kmeans_model"))
     files.write_table(cust.drop("features"), _out(out_dir, "segmented_customers"))
     files.write_table(customers.trips_with_segment(trips, cust), _out(out_dir, "trips_with_customer_segment"))
     feats = list(customers.CUSTOMER_FEATURES)
@@ -199,7 +199,7 @@ def run_customer_segmentation_job(spark, clean_dir: str, out_dir: str, k: int =
 
 
 def run_k_evaluation_job(spark, clean_dir: str, out_dir: str, max_k: int = 8, sample_fraction: float | None = None,
-                         fast: bool = True, completed_only: bool = False, min_value: float | None = None) -> None:
+                         fast: bool = False, completed_only: bool = False, min_value: float | None = None) -> None:
     """§3.2 choice of k: row filters (FL5/FL6), encoder, inertia + silhouette for k = 2..max_k."""
     from ridelens.operators import encode, segment
     from ridelens.sources import files

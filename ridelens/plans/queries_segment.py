@@ -489,10 +489,14 @@ def q_kmeans_trips(spark, sf_dir):
 
 @register("evaluate_k")
 def q_evaluate_k(spark, sf_dir):
-    """SG3 / SG5: inertia and silhouette for k = 2..8 on the embeddings (fast variant)."""
-    from pyspark.ml.functions import array_to_vector
-    emb = table(spark, sf_dir, "embeddings").select(array_to_vector("embedding").alias("features"))
-    return _r6(segment.evaluate_k(emb, fast=True))
+    """SG3: inertia and silhouette for k = 2..8 on the embeddings, best of 10 starts each."""
+    return _r6(segment.evaluate_k(table(spark, sf_dir, "embeddings"), features="embedding"))
+
+
+@register("evaluate_k_minibatch")
+def q_evaluate_k_minibatch(spark, sf_dir):
+    """SG5: the same by mini-batch k-means."""
+    return _r6(segment.evaluate_k(table(spark, sf_dir, "embeddings"), features="embedding", fast=True))
 
 
 @register("pca_2d")

@@ -22,12 +22,12 @@ def test_kmeans_properties(spark):
     emb = table(spark, SF, "embeddings").select(array_to_vector("embedding").alias("features"))
     m1 = segment.fit_kmeans(emb, 4, n_init=2, max_iter=20)
     m2 = segment.fit_kmeans(emb, 4, n_init=2, max_iter=20)
-    assert m1.summary.trainingCost == pytest.approx(m2.summary.trainingCost)
+    assert m1.cost == pytest.approx(m2.cost)
     lab = segment.renumber_by_size(m1.transform(emb), "_pred", "seg")
     sizes = [r["n"] for r in lab.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).orderBy("seg").collect()]
     assert sum(sizes) == emb.count() and sizes == sorted(sizes, reverse=True)
     assert {r.seg for r in lab.select("seg").distinct().collect()} <= set(range(4))
-    costs = [segment.fit_kmeans(emb, k, n_init=3, max_iter=30).summary.trainingCost for k in (2, 6)]
+    costs = [segment.fit_kmeans(emb, k, n_init=3, max_iter=30).cost for k in (2, 6)]
     assert costs[1] <= costs[0]
 
 
