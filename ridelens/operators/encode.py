@@ -1,8 +1,8 @@
 """Imputers, scalers and the feature encoder (IM6-IM10, FE1, FE4-FE8).
 
 Each ``fit_*`` runs one distributed aggregate and returns a small parameter dict (one entry
-per column); ``apply_*`` is a projection.  The encoder is a ``spark.ml`` ``PipelineModel``
-(indexers + one-hot) plus those parameter dicts, saved together (IO8).
+per column); ``apply_*`` is a projection.  The encoder is a dictionary table for the one-hot
+block plus those parameter dicts, saved together (IO8).
 
 ``spark.ml``'s ``Imputer(median)``, ``RobustScaler`` and ``StandardScaler`` are deliberately not
 used: they interpolate differently, do not centre, or divide by the sample std.
@@ -15,15 +15,15 @@ import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridelens.functions.strings import string_columns
 from ridelens.operators.clean import PROTECTED, SCALED_NUMERIC, is_numeric
+from ridelens.operators.dictionary import Dictionary, fit_dictionary, ohe
+from ridelens.operators.kmeans import entries
 from ridelens.operators.quantiles import filled_quartiles, quantiles
 
 
@@ -138,14 +138,6 @@ def group_columns(df: DataFrame, scaled: Sequence[str] = SCALED_NUMERIC,
 
 
 # ---------------------------------------------------------------------------- FE6-FE8
-def _idx(c: str) -> str:
-    return f"{c}__idx"
-
-
-def _ohe(c: str) -> str:
-    return f"{c}__ohe"
-
-
 def _cat(c: str) -> str:
     return f"c__{c}"
 
@@ -155,37 +147,17 @@ def _filled_categories(df: DataFrame, cols: Sequence[str], modes: Mapping[str, o
     return df.withColumns({_cat(c): F.coalesce(F.col(c), F.lit(modes[c])) for c in cols})
 
 
-def fit_onehot(df: DataFrame, cols: Sequence[str]) -> PipelineModel:
+def fit_onehot(df: DataFrame, cols: Sequence[str]) -> Dictionary:
     """FE6: categories sorted, unseen and null -> all zeros, width = number of categories."""
-    stages = []
-    for c in cols:
-        stages.append(StringIndexer(inputCol=c, outputCol=_idx(c), handleInvalid="keep",
-                                    stringOrderType="alphabetAsc"))
-        # the indexer maps unseen/null to index L (its metadata has L + 1 values); dropLast drops
-        # exactly that slot, so the width is L and unseen rows are all zeros
-        stages.append(OneHotEncoder(inputCol=_idx(c), outputCol=_ohe(c), dropLast=True))
-    return Pipeline(stages=stages).fit(df)
+    return fit_dictionary(df, cols)
 
 
-def onehot_labels(model: PipelineModel, cols: Sequence[str]) -> dict[str, list[str]]:
-    labels = [s.labels for s in model.stages if hasattr(s, "labels")]
-    return dict(zip(cols, labels))
-
-
-def onehot_long(df: DataFrame, model: PipelineModel, cols: Sequence[str], key: str) -> DataFrame:
+def onehot_long(df: DataFrame, model: Dictionary, cols: Sequence[str], key: str) -> DataFrame:
     """FE6 check form: ``key, feature`` for every non-zero dummy (at most one per column)."""
-    labels = onehot_labels(model, cols)
-    enc = model.transform(df)
-    parts = []
     for c in cols:
-        names = F.array(*[F.lit(f"{c}_{v}") for v in labels[c]]) if labels[c] else F.array().cast("array<string>")
-        pos = F.array_position(vector_to_array(F.col(_ohe(c))), 1.0)
-        parts.append(enc.select(key, F.when(pos > 0, F.element_at(names, pos.cast("int"))).alias("feature"))
-                     .where(F.col("feature").isNotNull()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        df = model.index(df, c, c, f"{c}__at")
+    set_ = F.array_compact(F.array(*[F.when(F.col(f"{c}__at").isNotNull(), F.concat(F.lit(f"{c}_"), F.col(c).cast("string"))) for c in cols]))
+    return df.select(key, F.explode(set_).alias("feature"))
 
 
 @dataclass
@@ -199,13 +171,37 @@ class Encoder:
     robust: dict = field(default_factory=dict)
     modes_cat: dict = field(default_factory=dict)
     modes_pass: dict = field(default_factory=dict)
-    labels: dict = field(default_factory=dict)
-    onehot: PipelineModel | None = None
-
-    def feature_names(self) -> list[str]:
-        """FE8: scaled names, ``col_value`` dummies, passthrough names (aligned with the vector)."""
-        return (list(self.scaled) + [f"{c}_{v}" for c in self.categorical for v in self.labels.get(c, [])]
-                + list(self.passthrough))
+    widths: dict = field(default_factory=dict)
+    onehot: Dictionary | None = None
+
+    def _offsets(self) -> dict[str, int]:
+        """Place of each categorical column's first dummy in the vector."""
+        out, at = {}, len(self.scaled)
+        for c in self.categorical:
+            out[c] = at
+            at += self.widths.get(c, 0)
+        return out
+
+    def size(self) -> int:
+        return len(self.scaled) + sum(self.widths.get(c, 0) for c in self.categorical) + len(self.passthrough)
+
+    def feature_table(self) -> DataFrame:
+        """FE8: ``position, feature``: scaled names, ``col_value`` dummies, passthrough names, aligned with the vector.  The
+        dummies come from the dictionary table; their names never pass the driver."""
+        ends = self.size() - len(self.passthrough)
+        plain = [*enumerate(self.scaled), *((ends + i, c) for i, c in enumerate(self.passthrough))]
+        out = _active().createDataFrame(plain, "position long, feature string")
+        if self.onehot is None:
+            return out
+        place = F.create_map(*[x for c, at in self._offsets().items() for x in (F.lit(c), F.lit(at))])
+        return out.unionByName(self.onehot.table.select((place[F.col("name")] + F.col("idx")).cast("long").alias("position"),
+                                                        F.concat("name", F.lit("_"), "value").alias("feature")))
+
+    def feature_names(self, most: int = 100_000) -> list[str]:
+        """The names as a list, for vectors of at most ``most`` features; ``feature_table`` has no bound."""
+        if self.size() > most:
+            raise ValueError(f"{self.size()} features: use feature_table")
+        return [r["feature"] for r in self.feature_table().orderBy("position").collect()]
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         """``df`` with the vector column; it is built from helper columns, so all input columns stay as they are."""
@@ -216,24 +212,28 @@ class Encoder:
         x = apply_scale(x, {f"s__{c}": p for c, p in self.robust.items()})
         cats = [_cat(c) for c in self.categorical]
         if self.onehot is not None:
-            x = self.onehot.transform(x)
-        inputs = [f"s__{c}" for c in self.scaled] + [_ohe(c) for c in cats] + [f"p__{c}" for c in self.passthrough]
+            x = self.onehot.transform(x, {_cat(c): c for c in self.categorical})
+        inputs = [f"s__{c}" for c in self.scaled] + [ohe(c) for c in cats] + [f"p__{c}" for c in self.passthrough]
         vec = VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(x)
-        return vec.drop(*inputs, *cats, *[_idx(c) for c in cats])
+        return vec.drop(*inputs, *cats)
 
     def transform_long(self, df: DataFrame, key: str) -> DataFrame:
         """FE8 check form: ``key, feature, value`` for every scaled and passthrough column and the dummy that is set."""
-        names = F.array(*[F.lit(n) for n in self.feature_names()])
-        numeric = {*self.scaled, *self.passthrough}
-        cells = self.transform(df).select(key, F.posexplode(vector_to_array("features")).alias("at", "value"))
-        cells = cells.select(key, F.element_at(names, F.col("at") + 1).alias("feature"), "value")
-        return cells.where(F.col("feature").isin(list(numeric)) | (F.col("value") != 0))
+        plain = [*range(len(self.scaled)), *range(self.size() - len(self.passthrough), self.size())]
+        v = entries(self.transform(df), "features")
+        at = F.coalesce(v["indices"], F.sequence(F.lit(0), v["size"] - 1))
+        cells = F.concat(F.arrays_zip(at.alias("position"), v["values"].alias("value")),
+                         F.transform(F.array_except(F.array(*[F.lit(i) for i in plain]), at),
+                                     lambda i: F.struct(i.alias("position"), F.lit(0.0).alias("value"))))
+        cells = self.transform(df).select(key, F.explode(cells).alias("cell")).select(key, "cell.position", "cell.value")
+        cells = cells.where(F.col("position").isin(plain) | (F.col("value") != 0))
+        return cells.join(self.feature_table(), "position").select(key, "feature", "value")
 
     def save(self, path: str) -> None:
-        """IO8: parameters as JSON next to the saved one-hot ``PipelineModel``."""
+        """IO8: parameters as JSON next to the dictionary table."""
         params = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "onehot"}
         if self.onehot is not None:
-            self.onehot.write().overwrite().save(os.path.join(path, "onehot"))
+            self.onehot.save(os.path.join(path, "onehot"))
         spark = _active()
         spark.createDataFrame([(json.dumps(params),)], "params string").coalesce(1).write.mode("overwrite").text(
             os.path.join(path, "params"))
@@ -245,7 +245,7 @@ class Encoder:
         enc = cls(**params)
         enc.robust = {k: tuple(v) for k, v in enc.robust.items()}
         if enc.categorical:
-            enc.onehot = PipelineModel.load(os.path.join(path, "onehot"))
+            enc.onehot = Dictionary.load(os.path.join(path, "onehot"))
         return enc
 
 
@@ -271,6 +271,7 @@ def fit_encoder(df: DataFrame, groups: Mapping[str, list[str]] | None = None, me
     enc.modes_cat = {c: modes[c] for c in enc.categorical}
     enc.modes_pass = {c: modes[c] for c in enc.passthrough}
     if enc.categorical:
-        enc.onehot = fit_onehot(_filled_categories(df, enc.categorical, enc.modes_cat), [_cat(c) for c in enc.categorical])
-        enc.labels = onehot_labels(enc.onehot, enc.categorical)
+        named = df.select(*[F.coalesce(F.col(c), F.lit(enc.modes_cat[c])).alias(c) for c in enc.categorical])
+        enc.onehot = fit_onehot(named, enc.categorical)
+        enc.widths = dict(enc.onehot.widths)
     return enc

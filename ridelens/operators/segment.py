@@ -70,12 +70,13 @@ def assign(df: DataFrame, vec: str, centres: dict[int, list[float]], out: str =
 
 
 def centroid_range(centres_long: DataFrame, label: str = "label", n: int = 30,
-                   feature_names: Sequence[str] | None = None) -> DataFrame:
-    """SG7: max - min of each centre coordinate across segments; top ``n`` (ties by name)."""
-    feat = (F.element_at(F.array(*[F.lit(x) for x in feature_names]), F.col("dim") + 1) if feature_names
-            else F.concat(F.lit("f"), F.col("dim").cast("string")))
-    return (centres_long.groupBy("dim").agg((F.max("value") - F.min("value")).alias("range_across_clusters"))
-            .select(feat.alias("feature"), "range_across_clusters")
+                   features: DataFrame | None = None) -> DataFrame:
+    """SG7: max - min of each centre coordinate across segments; top ``n`` (ties by name).  ``features`` names the coordinates
+    (``position, feature``, as ``Encoder.feature_table``); without it they are ``f0, f1, ...``."""
+    ranges = centres_long.groupBy("dim").agg((F.max("value") - F.min("value")).alias("range_across_clusters"))
+    ranges = (ranges.withColumn("feature", F.concat(F.lit("f"), F.col("dim").cast("string"))) if features is None
+              else ranges.join(features, F.col("dim") == F.col("position")))
+    return (ranges.select("feature", "range_across_clusters")
             .orderBy(F.desc("range_across_clusters"), "feature").limit(n))
 
 

@@ -136,8 +136,7 @@ def run_clean_job(spark, raw_path: str, out_dir: str, fmt: str = "parquet", form
     files.write_table(cleaned, _out(out_dir, "cleaned"), fmt)
     enc = encode.fit_encoder(cleaned)
     enc.save(_out(out_dir, "encoder"))
-    names = spark.createDataFrame([(i, n) for i, n in enumerate(enc.feature_names())], "position int, feature string")
-    files.write_json(names.coalesce(1), _out(out_dir, "feature_names"))
+    files.write_json(enc.feature_table(), _out(out_dir, "feature_names"))
     spark.createDataFrame([(json.dumps(art.cast_profile),)], "profile string").coalesce(1).write.mode(
         "overwrite").text(_out(out_dir, "cast_profile"))
     spark.createDataFrame([(f,) for f in art.date_formats], "format string").coalesce(1).write.mode("overwrite").text(
@@ -167,7 +166,7 @@ def run_trip_segmentation_job(spark, clean_dir: str, out_dir: str, k: int = 3, c
                               "csv")
     cen = spark.createDataFrame([(int(c), int(d), float(v)) for c, centre in enumerate(model.centres)
                                  for d, v in enumerate(centre)], "label int, dim int, value double")
-    files.write_table(segment.centroid_range(cen, "label", 30, enc.feature_names()),
+    files.write_table(segment.centroid_range(cen, "label", 30, enc.feature_table()),
                       _out(out_dir, "cluster_feature_importance"), "csv")
     files.write_table(segment.pca_2d(labelled, "features", "trip_segment"), _out(out_dir, "pca_2d"))
     prof = customers.segment_profile(labelled, "trip_segment", [c for c in num if c in labelled.columns])

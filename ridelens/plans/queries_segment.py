@@ -332,7 +332,7 @@ def q_standard_scale(spark, sf_dir):
 @register("onehot_part", """SELECT p_partkey, 'p_brand_' || p_brand AS feature FROM part WHERE p_brand IS NOT NULL
 UNION ALL SELECT p_partkey, 'p_type_' || p_type AS feature FROM part WHERE p_type IS NOT NULL""")
 def q_onehot_part(spark, sf_dir):
-    """FE6: StringIndexer(alphabetAsc, keep) + OneHotEncoder(dropLast); long form of the non-zero dummies."""
+    """FE6: dictionary encoding; long form of the non-zero dummies."""
     part = table(spark, sf_dir, "part")
     model = encode.fit_onehot(part, ["p_brand", "p_type"])
     return encode.onehot_long(part, model, ["p_brand", "p_type"], "p_partkey")
