@@ -5,7 +5,9 @@
     python -m ridelens segment-customers CLEAN_DIR OUT_DIR [--k 3]
     python -m ridelens evaluate-k CLEAN_DIR OUT_DIR [--max-k 8] [--completed-only] [--min-value X] [--fast] [--sample 0.1]
     python -m ridelens forecast-global CLEAN_DIR OUT_DIR [--metrics v1|v2] [--models a,b,...]
-    python -m ridelens forecast-vehicle CLEAN_DIR OUT_DIR
+    python -m ridelens forecast-vehicle CLEAN_DIR OUT_DIR [--horizon 168] [--future-model fourier]
+    python -m ridelens profile CLEAN_DIR OUT_DIR
+    python -m ridelens distribution CLEAN_DIR OUT_DIR
 
 On a cluster the session comes from ``spark-submit``; locally a ``local[*]`` session is made.
 """
@@ -22,7 +24,7 @@ from ridelens.plans import jobs
 def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="ridelens")
     p.add_argument("job", choices=["clean", "segment-trips", "segment-customers", "evaluate-k", "forecast-global",
-                                   "forecast-vehicle"])
+                                   "forecast-vehicle", "profile", "distribution"])
     p.add_argument("src")
     p.add_argument("out")
     p.add_argument("--k", type=int, default=3)
@@ -53,6 +55,10 @@ def main(argv: list[str] | None = None) -> None:
     elif a.job == "evaluate-k":
         jobs.run_k_evaluation_job(spark, a.src, a.out, max_k=a.max_k, completed_only=a.completed_only,
                                   min_value=a.min_value, fast=a.fast, sample_fraction=a.sample)
+    elif a.job == "profile":
+        jobs.run_profile_job(spark, a.src, a.out)
+    elif a.job == "distribution":
+        jobs.run_distribution_job(spark, a.src, a.out)
     elif a.job == "forecast-global":
         models = tuple(a.models.split(",")) if a.models else ("baseline_last", "baseline_weekly", "additive_log1p",
                                                               "fourier_log1p")

@@ -10,8 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ridelens.operators import skew
 from ridelens.operators.clean import is_numeric, parse_number
 
 # Fixed values: (output column, source column) of the customer feature table.
@@ -62,15 +62,11 @@ def customer_features(df: DataFrame, key: str = "customer_id") -> DataFrame:
 
 def trips_with_segment(trips: DataFrame, customers: DataFrame, key: str = "customer_id",
                        segment: str = "customer_segment") -> DataFrame:
-    """JN1: left equi-join; trips without a customer keep a null segment.  AQE picks broadcast
-    or sort-merge from runtime sizes (the customer side grows with the data, so no fixed hint)
-    and splits the partition of a customer with very many trips.  Trips without a customer are
-    dealt by a hash of the row, so they do not meet in one partition."""
+    """JN1: left equi-join; trips without a customer keep a null segment and are not shuffled.  Customers with very many trips
+    are found by one scan of the key and joined with a salt (``skew``); AQE picks broadcast or sort-merge for the
+    others from runtime sizes (the customer side grows with the data, so no fixed hint)."""
     ids = customers.select(F.col(key).cast(trips.schema[key].dataType).cast("string").alias("_customer"), segment)
-    hashed = [f.name for f in trips.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = F.concat(F.lit("null "), F.xxhash64(*hashed).cast("string"))
-    keyed = trips.withColumn("_trip", F.coalesce(F.col(key).cast("string"), spread))
-    found = keyed.join(ids.where("_customer is not null"), (F.col("_trip") == F.col("_customer")) & F.col(key).isNotNull(), "left")
+    found = skew.left_join(trips, ids, F.col(key), "_customer")
     return found.select(key, *[c for c in trips.columns if c != key], segment)
 
 

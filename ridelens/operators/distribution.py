@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: the significance level of the reference's normality check.
 ALPHA = 0.05
+#: Bins of the density per bandwidth.
+BINS_PER_H = 40
 
 
 def normality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -54,19 +56,42 @@ def histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("hi"), "n"))
 
 
-def kde(df: DataFrame, col: str, points: int = 50) -> DataFrame:
-    """DI3: Gaussian density at ``points`` grid values over [min, max], Scott bandwidth
-    std * n^(-1/5), summed over **all** rows in one aggregate (one sum per grid point)."""
+def _scott(df: DataFrame, col: str) -> tuple[float, float, int, float] | None:
+    """Smallest and largest value, their number and Scott's bandwidth std * n^(-1/5); None without a spread."""
     x = F.col(col).cast("double")
     st = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi"), F.stddev_samp(x).alias("sd"), F.count(x).alias("n")).first()
     if not st["n"] or not st["sd"]:
+        return None
+    return st["lo"], st["hi"], st["n"], st["sd"] * st["n"] ** (-1.0 / 5.0)
+
+
+def kde(df: DataFrame, col: str, points: int = 50, exact: bool = True) -> DataFrame:
+    """DI3: Gaussian density at ``points`` grid values over [min, max], Scott bandwidth, over **all** rows: one sum of the
+    kernel per grid point.
+
+    ``exact=False`` does with one kernel per bin: each row is shared between the two nearest of evenly spaced
+    bins, by its distance from them, in one aggregate.  The bins are at most h / ``BINS_PER_H`` wide (h: the
+    bandwidth), which keeps the error of a density below 0.4 / h / (8 BINS_PER_H^2), less than 8e-5 of its greatest
+    possible value 0.4 / h."""
+    found = _scott(df, col)
+    if found is None:
         return df.sparkSession.createDataFrame([], "x double, density double")
-    lo, hi, n = st["lo"], st["hi"], st["n"]
-    h = st["sd"] * n ** (-1.0 / 5.0)
+    lo, hi, n, h = found
+    x = F.col(col).cast("double")
+    bins = max(1, math.ceil((hi - lo) / h * BINS_PER_H))
+    width = (hi - lo) / bins
     grid = [lo + (hi - lo) * i / (points - 1) for i in range(points)]
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
-    sums = df.where(x.isNotNull()).agg(*[F.sum(F.exp(-F.pow((F.lit(g) - x) / F.lit(h), 2) / 2.0)).alias(f"g{i}")
-                                        for i, g in enumerate(grid)])
+    if exact:
+        places = df.where(x.isNotNull()).select(x.alias("v"), F.lit(1.0).alias("w"))
+    else:
+        at = (x - F.lit(lo)) / F.lit(width)
+        low = F.least(F.floor(at), F.lit(bins - 1))
+        shares = F.array(F.struct(low.alias("bin"), (low + 1 - at).alias("w")), F.struct((low + 1).alias("bin"), (at - low).alias("w")))
+        places = df.where(x.isNotNull()).select(F.explode(shares).alias("s")).groupBy("s.bin").agg(F.sum("s.w").alias("w"))
+        places = places.select((F.lit(lo) + F.col("bin") * F.lit(width)).alias("v"), "w")
+    sums = places.agg(*[F.sum(F.col("w") * F.exp(-F.pow((F.lit(g) - F.col("v")) / F.lit(h), 2) / 2.0)).alias(f"g{i}")
+                        for i, g in enumerate(grid)])
     pairs = F.array(*[F.struct(F.lit(g).alias("x"), (F.col(f"g{i}") * F.lit(norm)).alias("density"))
                       for i, g in enumerate(grid)])
     return sums.select(F.explode(pairs).alias("p")).select("p.*")

@@ -270,7 +270,8 @@ def starting_centres(x: DataFrame, ks: Sequence[int], n_init: int, seed: int, ta
 # ---------------------------------------------------------------------------- fits
 @dataclass
 class KMeansFit:
-    """Centres of the best start for one k, its cost and, per centre, the sizes, sums and squared norms of its rows."""
+    """Centres of the best start for one k, its cost and, per centre, the sizes, sums and squared norms of its rows; ``prepare`` holds
+    what made the vectors, where a caller sets it."""
 
     k: int
     centres: np.ndarray
@@ -278,6 +279,7 @@ class KMeansFit:
     start: int
     iterations: int
     stats: dict = field(default_factory=dict, repr=False)
+    prepare: dict = field(default_factory=dict)
 
     def transform(self, df: DataFrame, features: str = "features", out: str = "_pred") -> DataFrame:
         return df.withColumn(out, nearest_centre(df, features, self.centres))
@@ -286,7 +288,8 @@ class KMeansFit:
         spark = SparkSession.getActiveSession()
         rows = [(i, c.tolist()) for i, c in enumerate(self.centres)]
         spark.createDataFrame(rows, "centre int, value array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
-        about = json.dumps({"k": self.k, "cost": self.cost, "start": self.start, "iterations": self.iterations})
+        about = json.dumps({"k": self.k, "cost": self.cost, "start": self.start, "iterations": self.iterations,
+                            "prepare": self.prepare})
         spark.createDataFrame([(about,)], "about string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod

@@ -11,7 +11,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -123,21 +123,28 @@ def renumber_by_size(labelled: DataFrame, pred: str, out: str) -> DataFrame:
     return labelled.withColumn(out, mapping[F.col(pred)].cast("int")).drop(pred)
 
 
+def customer_vectors(feats: DataFrame, prepare: Mapping[str, Mapping], key: str = "customer_id") -> DataFrame:
+    """``key, features``: AG1 features imputed and scaled with fitted parameters (``KMeansFit.prepare``, also of a loaded model)."""
+    scale = {c: tuple(p) for c, p in prepare["scale"].items()}
+    scaled = encode.apply_scale(encode.apply_fill(feats, prepare["medians"]), scale)
+    return VectorAssembler(inputCols=list(scale), outputCol="features").transform(scaled.select(key, *scale)).select(key, "features")
+
+
 def segment_customers(trips: DataFrame, k: int = 3, seed: int = 42, n_init: int = 10,
                       key: str = "customer_id") -> tuple[DataFrame, KMeansFit, list[str]]:
     """SG2: AG1 features -> median imputer (IM6) -> standard scaler (FE5) -> k-means.  The rows hold the
-    features as they are, the imputed and scaled vector ``features`` and ``customer_segment``."""
+    features as they are, the imputed and scaled vector ``features`` and ``customer_segment``.  The model carries the imputer and the
+    scaler (``prepare``) and saves them, so new customers can be placed with ``customer_vectors``."""
     feats = customers.customer_features(trips, key)
     names = list(customers.CUSTOMER_FEATURES)
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    medians = encode.fit_median(feats, names)
-    filled = encode.apply_fill(feats, medians)
-    present = [c for c in names if medians.get(c) is not None]
-    scaled = encode.apply_scale(filled, encode.fit_standard(filled, present))
-    x = VectorAssembler(inputCols=present, outputCol="features").transform(scaled.select(key, *present))
-    x = x.select(key, "features").persist(StorageLevel.MEMORY_AND_DISK)
+    medians = {c: m for c, m in encode.fit_median(feats, names).items() if m is not None}
+    present = [c for c in names if c in medians]
+    prepare = {"medians": medians, "scale": encode.fit_standard(encode.apply_fill(feats, medians), present)}
+    x = customer_vectors(feats, prepare, key).persist(StorageLevel.MEMORY_AND_DISK)
     model = fit_kmeans(x, k, seed=seed, n_init=n_init)
     labelled = renumber_by_size(model.transform(x).select(key, "features", "_pred"), "_pred", "customer_segment")
+    model.prepare = prepare
     out = cut_lineage(feats.join(labelled, key))
     x.unpersist()
     feats.unpersist()

@@ -5,8 +5,8 @@ Scale notes
 * The raw rows are touched once: ``groupBy(series, bucket).count()`` with map-side partial
   aggregation, so a category holding a third of all rows is combined per map task before the
   shuffle.  Everything after that is series x hours (a year of hours is 8,760 rows per series).
-* The grid is filled in one pass over the counts: ``lead(ds)`` per series and ``sequence`` +
-  ``explode`` for the empty steps between non-empty buckets (no join back, one raw scan).
+* The grid is filled in one pass over the counts: ``lead(ds)`` per series, gaps cut into chunks that are
+  dealt out before they become points (no join back, one raw scan).
 * Positions come from arithmetic on the regular grid, never from an unpartitioned window.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 SERIES = "series"
 GLOBAL_SERIES = "all"
 
-_STEP = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY"}
 _UNIT = {"hour": "HOUR", "day": "DAY"}
 
 
@@ -59,23 +58,27 @@ def hourly_demand(df: DataFrame, ts: str = "datetime", series: str | None = None
     return zero_fill(demand_counts(df, ts, series, freq), freq)
 
 
+#: Least number of points of a chunk of a gap.
+CHUNK = 1000
+
+
 def zero_fill(counts: DataFrame, freq: str = "hour") -> DataFrame:
     """Complete ``series, ds, y`` counts to a regular grid per series (missing buckets -> 0).
 
-    One pass over the (small) counts: ``lead(ds)`` per series finds the next non-empty bucket
-    and every bucket emits itself plus a zero row for each empty step up to it.  No join back
-    to the counts, so the raw table under them is scanned once; the window holds one series'
+    One pass over the (small) counts: ``lead(ds)`` per series finds the next non-empty bucket.  A bucket
+    and the empty steps after it are cut into chunks of about the square root of their number (at least
+    ``CHUNK``); the chunks are dealt out and each becomes its points in the task it falls to.  So a stray
+    timestamp thousands of years off is spread over the tasks, and no array exceeds 10,000 elements.  There is no
+    join back to the counts, so the raw table under them is scanned once; the window holds one series'
     non-empty buckets (bounded by its time span, not by the raw rows)."""
-    step = F.expr(_STEP[freq])
-    nxt = F.lead("ds").over(Window.partitionBy(SERIES).orderBy("ds"))
-    gap = F.when(F.col("_next") > F.col("ds") + step,
-                 F.sequence(F.col("ds") + step, F.col("_next") - step, step))
-    zeros = F.transform(F.coalesce(gap, F.array().cast("array<timestamp_ntz>")),
-                        lambda t: F.struct(t.alias("ds"), F.lit(0).cast("long").alias("y")))
-    points = F.concat(F.array(F.struct(F.col("ds"), F.col("y").cast("long").alias("y"))), zeros)
-    return (counts.withColumn("_next", nxt)
-            .select(SERIES, F.explode(points).alias("p"))
-            .select(SERIES, "p.ds", "p.y"))
+    size = F.coalesce(steps_between("ds", "_next", freq), F.lit(1))
+    cut = counts.withColumn("_next", F.lead("ds").over(Window.partitionBy(SERIES).orderBy("ds"))).select(
+        SERIES, "ds", "y", size.alias("_size"), F.greatest(F.lit(CHUNK), F.ceil(F.sqrt(size))).cast("long").alias("_chunk"))
+    chunks = cut.select("*", F.explode(F.expr("sequence(0L, (_size - 1) div _chunk)")).alias("_c")).repartition(SERIES, "ds", "_c")
+    points = chunks.select(SERIES, "ds", "y", F.explode(F.expr(
+        "sequence(_c * _chunk, least((_c + 1) * _chunk, _size) - 1)")).alias("_i"))
+    return points.select(SERIES, add_steps("ds", "_i", freq).alias("ds"),
+                         F.when(F.col("_i") == 0, F.col("y")).otherwise(F.lit(0)).cast("long").alias("y"))
 
 
 def log_demand(series_df: DataFrame, col: str = "y") -> DataFrame:

@@ -244,6 +244,32 @@ def run_forecast_job(spark, clean_dir: str, out_dir: str, series: str | None = N
                           _out(out_dir, "future"))
 
 
-__all__ = ["CleanArtifacts", "prepare_bookings", "impute_bookings", "clean_bookings", "category_columns",
+def run_profile_job(spark, clean_dir: str, out_dir: str) -> None:
+    """IM8-IM10: the cleaned trips with ``duration`` and ``distance``, and a profile of both."""
+    from ridelens.operators import encode
+    from ridelens.sources import files
+
+    files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
+    trips = encode.add_distance(encode.add_duration(files.read_clean(spark, _out(clean_dir, "cleaned"))))
+    files.write_table(trips, _out(out_dir, "trips"))
+    profile = encode.profile(trips, "duration").unionByName(encode.profile(trips, "distance"))
+    files.write_table(profile, _out(out_dir, "profile"), "csv")
+
+
+def run_distribution_job(spark, clean_dir: str, out_dir: str, bins: int = 10, points: int = 50) -> None:
+    """DI1-DI3 for the numeric columns of the cleaned trips: one normality table, histograms and densities."""
+    from ridelens.operators import distribution
+    from ridelens.sources import files
+
+    files.require(spark, [_out(clean_dir, "cleaned")], "the clean job")
+    trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
+    cols = scaled_columns(trips)
+    files.write_table(distribution.normality(trips, cols), _out(out_dir, "normality"), "csv")
+    for c in cols:
+        files.write_table(distribution.histogram(trips, c, bins), _out(out_dir, f"histogram_{c}"), "csv")
+        files.write_table(distribution.kde(trips, c, points, exact=False), _out(out_dir, f"density_{c}"), "csv")
+
+
+__all__ = ["run_profile_job", "run_distribution_job", "date_formats", "CleanArtifacts", "prepare_bookings", "impute_bookings", "clean_bookings", "category_columns",
            "scaled_columns", "demand_split", "run_clean_job", "run_trip_segmentation_job",
            "run_customer_segmentation_job", "run_k_evaluation_job", "run_forecast_job"]

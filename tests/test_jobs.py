@@ -31,3 +31,9 @@ def test_jobs_end_to_end(spark):
     jobs.run_forecast_job(spark, os.path.join(d, "clean"), os.path.join(d, "fc"))
     m = spark.read.option("header", True).csv(os.path.join(d, "fc", "metrics"))
     assert {r.model for r in m.collect()} == {"baseline_last", "baseline_weekly", "additive_log1p", "fourier_log1p"}
+    jobs.run_profile_job(spark, os.path.join(d, "clean"), os.path.join(d, "prof"))
+    assert {r.column_name for r in spark.read.option("header", True).csv(os.path.join(d, "prof", "profile")).collect()} == {"duration", "distance"}
+    jobs.run_distribution_job(spark, os.path.join(d, "clean"), os.path.join(d, "dist"))
+    normal = spark.read.option("header", True).csv(os.path.join(d, "dist", "normality"))
+    for r in normal.collect():
+        assert os.path.isdir(os.path.join(d, "dist", f"histogram_{r.feature}")) and os.path.isdir(os.path.join(d, "dist", f"density_{r.feature}"))

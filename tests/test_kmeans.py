@@ -99,3 +99,19 @@ def test_few_rows_nulls_and_saving(spark, tmp_path):
     again = kmeans.KMeansFit.load(str(tmp_path / "m"))
     assert np.array_equal(again.centres, fits[2].centres) and again.cost == fits[2].cost
     assert segment.evaluate_k(df, [2], n_init=2).first().silhouette == pytest.approx(2 / 3)
+
+
+def test_saved_customer_model_places_the_same_customers(spark, tmp_path):
+    from ridelens.operators import customers
+    from ridelens.plans import jobs
+    from ridelens.sources.tables import dirty_bookings
+
+    from .conftest import SF
+    trips = jobs.clean_bookings(dirty_bookings(spark, SF))[0]
+    out, model, names = segment.segment_customers(trips, n_init=2)
+    model.save(str(tmp_path / "m"))
+    again = kmeans.KMeansFit.load(str(tmp_path / "m"))
+    assert sorted(again.prepare["medians"]) == sorted(names)
+    x = segment.customer_vectors(customers.customer_features(trips), again.prepare)
+    placed = segment.renumber_by_size(again.transform(x), "_pred", "s")
+    assert placed.join(out, "customer_id").where("s <> customer_segment").count() == 0
