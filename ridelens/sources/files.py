@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ridelens.functions.strings import slug
+from ridelens.sources.csv_records import read_records
 
 
 class MissingInput(FileNotFoundError):
@@ -16,13 +17,16 @@ class MissingInput(FileNotFoundError):
 
 
 def read_raw(spark: SparkSession, path: str, columns: Iterable[str] | None = None,
-             position: str | None = None) -> DataFrame:
+             position: str | None = None, line_breaks: bool = False) -> DataFrame:
     """IO1: CSV with a header, every column text (no inference).  With ``columns`` the schema is
-    declared; otherwise the header is read and every field is typed as string.
+    declared; otherwise the header is read and every field is typed as string.  ``line_breaks`` reads
+    files whose quoted fields hold line breaks, still in as many tasks as they have blocks (``csv_records``).
 
     ``position`` adds a column that orders rows as the files hold them: file name, start of the
     block within the file, then the row within the block (its task reads blocks one after another)."""
     reader = spark.read.option("header", True).option("inferSchema", False)
+    if line_breaks:
+        return read_records(spark, path, list(columns) if columns is not None else reader.csv(path).columns, position)
     if columns is not None:
         reader = reader.schema(T.StructType([T.StructField(c, T.StringType()) for c in columns]))
     raw = reader.csv(path)
