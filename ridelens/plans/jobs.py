@@ -265,6 +265,7 @@ def run_distribution_job(spark, clean_dir: str, out_dir: str, bins: int = 10, po
     trips = files.read_clean(spark, _out(clean_dir, "cleaned"))
     cols = scaled_columns(trips)
     files.write_table(distribution.normality(trips, cols), _out(out_dir, "normality"), "csv")
+    files.write_table(distribution.shapiro_francia(trips, cols), _out(out_dir, "normality_ranks"), "csv")
     for c in cols:
         files.write_table(distribution.histogram(trips, c, bins), _out(out_dir, f"histogram_{c}"), "csv")
         files.write_table(distribution.kde(trips, c, points, exact=False), _out(out_dir, f"density_{c}"), "csv")

@@ -521,6 +521,12 @@ def q_normality(spark, sf_dir):
     return _r6(distribution.normality(table(spark, sf_dir, "lineitem"), _LI_NUM))
 
 
+@register("normality_ranks")
+def q_normality_ranks(spark, sf_dir):
+    """DI1 on ranks: Shapiro-Francia on all rows (SQL has no inverse normal; checked against numpy)."""
+    return _r6(distribution.shapiro_francia(table(spark, sf_dir, "lineitem"), _LI_NUM))
+
+
 @register("histogram_price", round6("""WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
 w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 10 ELSE 1.0 END AS width FROM r),
 b AS (SELECT CAST(least(floor((l_extendedprice - lo) / width) + 1, 10) AS INTEGER) AS bin, count(*) AS n
