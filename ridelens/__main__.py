@@ -34,11 +34,11 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--fast", action="store_true", help="mini-batch k-means for the choice of k")
     p.add_argument("--sample", type=float, default=None, help="share of the rows for the choice of k; all without it")
     p.add_argument("--horizon", type=int, default=168, help="steps of the future forecast")
-    p.add_argument("--future-model", choices=["additive", "fourier"], default="additive")
+    p.add_argument("--future-model", choices=["additive", "fourier", "sparse"], default="additive")
     p.add_argument("--metrics", choices=["v1", "v2"], default=None,
                    help="v2: MAPE over y > 0 + sMAPE (global default); v1: MAPE with the 1e-6 floor")
     p.add_argument("--models", default=None,
-                   help="comma list of baseline_last, baseline_weekly, additive, additive_log1p, fourier, fourier_log1p")
+                   help="comma list of baseline_last, baseline_weekly, additive, additive_log1p, fourier, fourier_log1p, sparse, sparse_log1p")
     p.add_argument("--date-format", default=None, help="pattern of the booking times besides ISO; found in the data if not given")
     a = p.parse_args(argv)
     spark = SparkSession.getActiveSession()

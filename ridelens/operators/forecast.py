@@ -10,6 +10,7 @@ booking rows never pass through here.  Every model returns
 * FC5 ``forecast_additive(log=True)``  FC4 on log1p(y), back with expm1, clipped at 0
 * FC4 / FC5 Fourier variant (``fourier`` / ``fourier_log1p``) lives in ``fourier.py``: trend with
   changepoints + Fourier seasonality, ridge fit from per-series Gram matrices
+* FC4 / FC5 with sparse trend changes and widening bounds (``sparse`` / ``sparse_log1p``): ``sparse_trend.py``
 * FC6 ``forecast_future``    next ``horizon`` steps with bounds
 * FC7 status column: a series whose trend cannot be fitted gets null forecasts, the others go on
 * FC8 ``run_forecasts``      union of all models
@@ -160,7 +161,8 @@ def forecast_future(split: DataFrame, horizon: int = 168, value: str = "y", log:
 
     ``origin="end"`` fits on every point of the series and starts after its last point;
     ``origin="train"`` fits on the train part and, like the reference, covers the train span
-    plus ``horizon`` steps after it.  ``model`` is ``"additive"`` (trend + slot means) or ``"fourier"``.
+    plus ``horizon`` steps after it.  ``model`` is ``"additive"`` (trend + slot means), ``"fourier"`` or
+    ``"sparse"`` (sparse trend changes; bounds that widen with the horizon).
     """
     clip = log if clip is None else clip
     target = F.log1p(F.col(value).cast("double")) if log else F.col(value).cast("double")
@@ -182,8 +184,12 @@ def forecast_future(split: DataFrame, horizon: int = 168, value: str = "y", log:
         from ridelens.operators import fourier
         fitted = fourier.fit_fourier(fit_rows, target, freq, fourier.default_cp_scale(log))
         pred = fourier.predict_fourier(grid, fitted, freq)
+    elif model == "sparse":
+        from ridelens.operators import fourier, sparse_trend
+        fitted = sparse_trend.fit_sparse_trend(fit_rows, target, freq, fourier.default_cp_scale(log))
+        pred = sparse_trend.predict_sparse_trend(grid, fitted, freq)
     else:
-        raise ValueError("model must be 'additive' or 'fourier'")
+        raise ValueError("model must be 'additive', 'fourier' or 'sparse'")
     return pred.select(
         SERIES, "ds",
         _back(F.col("fit"), log, clip).alias("yhat"),
@@ -192,6 +198,13 @@ def forecast_future(split: DataFrame, horizon: int = 168, value: str = "y", log:
     )
 
 
+def _sparse(log: bool):
+    def run(s, v, f):
+        from ridelens.operators.sparse_trend import forecast_sparse_trend
+        return forecast_sparse_trend(s, v, log=log, freq=f)
+    return run
+
+
 def _fourier(log: bool):
     def run(s, v, f):
         from ridelens.operators.fourier import forecast_fourier
@@ -206,6 +219,8 @@ MODELS = {
     "additive_log1p": lambda s, v, f: forecast_additive(s, v, log=True, freq=f),
     "fourier": _fourier(False),
     "fourier_log1p": _fourier(True),
+    "sparse": _sparse(False),
+    "sparse_log1p": _sparse(True),
 }
 
 

@@ -302,3 +302,15 @@ def q_forecast_fourier(spark, sf_dir):
     (random-free but solver-specific: rows-only, quality checked in tests)."""
     split = _events_split(spark, sf_dir)
     return _r6(fc.run_forecasts(split, ["fourier", "fourier_log1p"]))
+
+
+@register("forecast_sparse_trend")
+def q_forecast_sparse_trend(spark, sf_dir):
+    """FC4 / FC5 third variant: sparse trend changes, with bounds that widen and the status of each series (FC7)."""
+    return _r6(fc.run_forecasts(_events_split(spark, sf_dir), ["sparse", "sparse_log1p"], bounds=True))
+
+
+@register("forecast_future_sparse")
+def q_forecast_future_sparse(spark, sf_dir):
+    """FC6 by the sparse-trend model: 168 hours after the end of each series, in orders, bounds widening."""
+    return _r6(fc.forecast_future(_events_split(spark, sf_dir), horizon=168, log=True, model="sparse"))
