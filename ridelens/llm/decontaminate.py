@@ -9,6 +9,9 @@ the leading ones however seldom they leak; the rank is their number and ``RANK``
 that space give candidates, and so does the share of an item's own weight that a passage holds, so a
 short item counts however much other benchmark text stands around it.  For candidates words are compared in
 order: the longest common subsequence with the item, and how much of the item's answer (its closing words) it holds.
+
+The space may miss a leak whose lost words carry most of an item's weight.  So the pairs it proposes nothing for are searched
+exactly (``_Rest``): a text that leaks an item holds one of a few of its rarest words, by the number of words that may be lost.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ COSINE = 0.5
 #: A passage that holds at least this share of an item's weight is a candidate, whatever else it holds.
 OWN_SHARE = 0.5
 ANSWER_WORDS = 8
+#: Cells of the table of a group of texts and the items' words.
+CELLS = 1 << 24
 
 
 def _passages(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,12 +171,94 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(b) - row.bit_count()
 
 
+def _answer(item: np.ndarray) -> np.ndarray:
+    return item[-min(ANSWER_WORDS, max(1, len(item) // 3)):]
+
+
 def _shares(item: np.ndarray, region: np.ndarray) -> tuple[float, float]:
     """Share of the item, and of its answer, that a region of a document holds in order."""
-    answer = item[-min(ANSWER_WORDS, max(1, len(item) // 3)):]
+    answer = _answer(item)
     return common_subsequence(item, region) / len(item), common_subsequence(answer, region) / len(answer)
 
 
+def _least(share: float, n: int) -> int:
+    """The smallest number of ``n`` words that makes up the share; ``n + 1`` if none does."""
+    return next((c for c in range(1, n + 1) if c / n >= share), n + 1)
+
+
+class _Rest:
+    """Finds every pair of a text and an item it leaks, without the space.
+
+    A leak holds ``whole`` words of the item in order, or ``part`` of them and ``closing`` of its answer.  So it
+    holds one of the rarest ``n - whole + 1`` words, or one of the rarest ``n - part + 1`` and one of the answer's rarest: texts
+    with none of these are out, then those that hold too few of the item's words at all.
+    """
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, place: np.ndarray, offsets: np.ndarray, lcs_share: float,
+                 paraphrase_share: float, answer_share: float):
+        self.terms, self.items = terms, [place[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
+        self.needs, term_of, item_of = [], [], []
+        for i, own in enumerate(self.items):
+            n, last = len(own), _answer(own)
+            whole, part, closing = _least(lcs_share, n), _least(paraphrase_share, n), _least(answer_share, len(last))
+            self.needs.append((whole, part, closing))
+            rarest, answer = own[np.argsort(df[own], kind="stable")], last[np.argsort(df[last], kind="stable")]
+            some = min(np.unique(rarest[:n - part + 1]), np.unique(answer[:len(last) - closing + 1]), key=lambda w: df[w].sum())
+            anchors = np.union1d(rarest[:n - whole + 1], some)
+            term_of.append(anchors)
+            item_of.append(np.full(len(anchors), i))
+        term, item = np.concatenate(term_of), np.concatenate(item_of)
+        order = np.argsort(term, kind="stable")
+        self.anchor_items = item[order]
+        self.bounds = np.searchsorted(term[order], np.arange(len(terms) + 1))
+
+    def pairs(self, found: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Texts and items that their words leave room for; ``found`` numbers the words of all texts."""
+        m, k = len(self.terms), len(self.items)
+        for lo in range(0, len(offsets) - 1, max(1, CELLS // m)):
+            hi = min(lo + max(1, CELLS // m), len(offsets) - 1)
+            own = found[offsets[lo]:offsets[hi]]
+            at = np.flatnonzero(own >= 0)
+            text = np.searchsorted(offsets[lo:hi + 1] - offsets[lo], at, "right") - 1
+            holds = np.zeros((hi - lo, m), bool)
+            holds[text, own[at]] = True
+            near = np.zeros((hi - lo, k), bool)
+            anchored = np.flatnonzero(np.diff(self.bounds))
+            row, col = np.nonzero(holds[:, anchored])
+            first, size = self.bounds[anchored[col]], np.diff(self.bounds)[anchored[col]]
+            step = max(1, CELLS // k)
+            for a in range(0, len(row), step):
+                n = size[a:a + step]
+                run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[a:a + step], n)
+                near[np.repeat(row[a:a + step], n), self.anchor_items[run]] = True
+            for i in np.flatnonzero(near.any(axis=0)).tolist():
+                rows, item, (whole, part, closing) = np.flatnonzero(near[:, i]), self.items[i], self.needs[i]
+                count = holds[rows[:, None], item].sum(axis=1)
+                last = holds[rows[:, None], _answer(item)].sum(axis=1)
+                for t in rows[(count >= whole) | ((count >= part) & (last >= closing))].tolist():
+                    yield lo + t, i
+
+    def best(self, i: int, item: np.ndarray, words: np.ndarray) -> tuple[float, float, int] | None:
+        """Shares and place of the region of ``words`` that holds most of a leaked item; regions are one and a half times as long
+        and start at any word of it.  A region's sequence grows by at most the words that enter it, so the next one tried is
+        the first that could do."""
+        whole, part, closing = self.needs[i]
+        n, last, width = len(item), _answer(item), len(item) + len(item) // 2
+        hit = np.flatnonzero(np.isin(words, item))
+        end = np.searchsorted(hit, hit + width)
+        room = np.flatnonzero(end - np.arange(len(hit)) >= min(whole, part))
+        most, found, at = 0, None, 0
+        while at < len(room):
+            j = room[at]
+            region = words[hit[j]:hit[j] + width]
+            size, held = common_subsequence(item, region), common_subsequence(last, region)
+            if size > most and (size >= whole or (size >= part and held >= closing)):
+                most, found = size, (size / n, held / len(last), int(hit[j]))
+            lacking = max(most + 1 - size, min(whole - size, max(part - size, closing - held)))
+            at = max(at + 1, int(np.searchsorted(end[room], end[j] + lacking)))
+        return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs_share: float = 0.8,
                  paraphrase_share: float = 0.6, answer_share: float = 0.75, seed: int = 11) -> DataFrame:
     """``doc_id, item_id, cosine, lcs_share, answer_share, first_word``: one row per document id and benchmark
@@ -179,7 +266,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 
     A leak holds at least ``lcs_share`` of the item's words in order within a region of one and a half
     times its length, or ``paraphrase_share`` of them together with ``answer_share`` of its answer (its
-    closing words).  Words are runs of letters, digits and other characters from U+0080 on, A-Z lower-cased.
+    closing words).  The space proposes the places; pairs it has none for are searched exactly, so every leak is found.  Words are runs of letters, digits and other characters from U+0080 on, A-Z lower-cased.
     Null and empty texts and items neither leak nor are leaked; rows with a null doc_id are
     reported with a null id; repeated rows and items with equal ids give one row per pair of ids (the
     best place); other columns are ignored; an empty table on either side gives an empty result.
@@ -215,6 +302,7 @@ def _search(docs: DataFrame, items: pa.Table, cosine: float, lcs_share: float, p
             keep[own[np.argsort(df[own], kind="stable")[:KEPT_TERMS]]] = True
     least = min(MIN_TERMS, min(int(keep[np.unique(place[a:b])].sum()) for a, b in zip(offsets[:-1], offsets[1:]) if b > a))
     space = _Space(terms, df, n_passages, keep, least)
+    rest = _Rest(terms, df, place, offsets, lcs_share, paraphrase_share, answer_share)
     q_text, q_first, q_last, q_norm, start, row_of, term, value = space.passages(Lookup(space.terms, space.terms), words, offsets)
     rows = np.zeros((len(start), len(space.terms)), np.float32)
     rows[row_of, term] = value
@@ -224,7 +312,7 @@ def _search(docs: DataFrame, items: pa.Table, cosine: float, lcs_share: float, p
     item_words = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
 
     def run(batches):
-        table = Lookup(space.terms, space.terms)
+        table, all_terms = Lookup(space.terms, space.terms), Lookup(rest.terms, rest.terms)
         for part in pieces(batches, size=PART):
             doc_words, doc_offsets = word_hashes(part.column("text"), table=NORMAL)
             text, first, last, norm, start, _, term, value = space.passages(table, doc_words, doc_offsets)
@@ -247,6 +335,17 @@ def _search(docs: DataFrame, items: pa.Table, cosine: float, lcs_share: float, p
                             key = (int(text[p]), int(item))
                             new = (share, float(near[r, q]), held, -(lo + word - int(doc_offsets[text[p]])))
                             out[key] = max(out.get(key, new), new)
+            for t, item in rest.pairs(all_terms.find(doc_words), doc_offsets):
+                if (t, item) in out:
+                    continue
+                own = doc_words[doc_offsets[t]:doc_offsets[t + 1]]
+                leak = rest.best(item, item_words[item], own)
+                if leak:
+                    share, held, word = leak
+                    region = own[word:word + len(item_words[item]) + len(item_words[item]) // 2]
+                    *_, start, _, term, value = space.passages(table, region, np.array([0, len(region)]))
+                    near = _times(basis, start, term, value) @ queries[:, q_text == item]
+                    out[t, item] = (share, float(near.max(initial=0.0)), held, -word)
             if out:
                 keys = list(out)
                 best = [out[k] for k in keys]

@@ -60,3 +60,35 @@ def test_recall_against_all_pairs(planted):
 def test_clean_prose_is_left_alone(planted):
     items, docs, got = planted
     assert not [p for p in got if p[0] < 150 and best_share(items[p[1]], docs[p[0]]) < 0.6]
+
+
+def test_leaks_that_lose_the_rare_words_are_found(spark):
+    """What remains of these items are frequent words, which say little in the latent space: all pairs decide."""
+    rnd = random.Random(4)
+    common = ["".join(rnd.choice("bcdfg") + rnd.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    items = []
+    for i in range(8):
+        item = [rnd.choice(common) for _ in range(20)]
+        for j in (3, 8, 13, 18)[:4 - i % 2]:
+            item[j] = f"rare{i}x{j}"
+        items.append(item)
+    docs = [[rnd.choice(common) for _ in range(60)] for _ in range(200)]
+    for item in items:  # the rare words replaced, and a leak that stretches over one and a half lengths
+        left = [rnd.choice(common) if w.startswith("rare") else w for w in item]
+        docs.append([f"own{j}" for j in range(40)] + left + [f"own{j}" for j in range(45)])
+        docs.append([f"own{j}" for j in range(17)] + [x for j, w in enumerate(left) for x in ([w, f"gap{j}"] if j % 2 else [w])] + ["own"] * 9)
+    want = set()
+    for d, words in enumerate(docs):
+        for i, item in enumerate(items):
+            n, last = len(item), item[-6:]
+            for a in range(max(1, len(words) - n - n // 2 + 1)):
+                region = words[a:a + n + n // 2]
+                size = subsequence(item, region)
+                if size >= 0.8 * n or (size >= 0.6 * n and subsequence(last, region) >= 0.75 * len(last)):
+                    want.add((d, i))
+                    break
+    assert len(want) >= 2 * len(items)
+    d = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    rows = contaminated(d, b).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want and len(rows) == len(want)
