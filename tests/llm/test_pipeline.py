@@ -84,3 +84,18 @@ def test_empty_tables(spark, world, tmp_path):
     assert p.run(spark, str(tmp_path)).collect() == []
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     assert p.decontamination(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_decontamination_finds_leaks_that_lose_the_rare_words(spark, tmp_path):
+    """The four words that are lost carry most of the item's weight; what is left are frequent words, in order."""
+    rnd = random.Random(6)
+    common = [f"{a}{b}{c}" for a in "bcdf" for b in "aeiou" for c in "kl"]
+    item = [rnd.choice(common) for _ in range(20)]
+    for j in (2, 7, 12, 17):
+        item[j] = f"rare{j}"
+    leak = " ".join(["own"] * 9 + [rnd.choice(common) if w.startswith("rare") else w for w in item] + ["own"] * 9)
+    texts = [" ".join(rnd.choice(common) for _ in range(60)) for _ in range(120)] + [leak]
+    spark.createDataFrame([(0, " ".join(item))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in p.decontamination(spark, docs, str(tmp_path)).collect()}
+    assert 120 not in kept and len(kept) >= 110
