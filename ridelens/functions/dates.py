@@ -47,13 +47,17 @@ def parse_text(text: Column, formats: Sequence[str] = FORMATS) -> Column:
 def format_profile(df: DataFrame, text: Column) -> DataFrame:
     """``layout, clock, n, first_over, second_over``: how many rows have each layout, and in how many the first
     or second number exceeds 12.  One aggregate of at most 22 rows: ISO text has layout -1, text that fits
-    none and null have a null layout."""
-    layout = F.when(text.try_cast("timestamp_ntz").isNotNull(), F.struct(F.lit(-1).alias("layout"), F.lit(0).alias("clock")))
+    none and null have a null layout.  The explodes keep the text and the ISO test from being computed again for each layout;
+    ISO text starts with its year, so no other test applies to it."""
+    rows = df.select(F.explode(F.array(text)).alias("text"))
+    rows = rows.select("text", F.explode(F.array(F.col("text").try_cast("timestamp_ntz").isNotNull())).alias("iso"))
+    text, iso = F.col("text"), F.col("iso")
+    layout = F.when(iso, F.struct(F.lit(-1).alias("layout"), F.lit(0).alias("clock")))
     for i, (date, _) in enumerate(DATE_LAYOUTS):
         for j, (clock, _) in enumerate(CLOCKS):
             layout = layout.when(text.rlike(f"^{date}{clock}$"), F.struct(F.lit(i).alias("layout"), F.lit(j).alias("clock")))
-    number = lambda regex: F.regexp_extract(text, regex, 1).try_cast("int") > 12
-    return df.groupBy(layout.alias("at")).agg(
+    number = lambda regex: F.when(~iso, F.regexp_extract(text, regex, 1).try_cast("int") > 12)
+    return rows.groupBy(layout.alias("at")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(number(r"^(\d{1,2})\D")).alias("first_over"),
         F.count_if(number(r"^\d{1,2}\D(\d{1,2})\D")).alias("second_over")).select("at.layout", "at.clock", "n", "first_over", "second_over")
 

@@ -87,7 +87,11 @@ def clean_bookings(raw: DataFrame, cast_decision: dict | None = None, quantile_m
     if persist:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df, profile = impute_bookings(df, cast_decision)
-    caps = clean.fit_caps(df, scaled_columns(df), method=quantile_method)
+    numbers = df.select(*scaled_columns(df))  # read several times: parsed once
+    if persist:
+        numbers = numbers.persist(StorageLevel.MEMORY_AND_DISK)
+    caps = clean.fit_caps(numbers, numbers.columns, method=quantile_method)
+    numbers.unpersist()
     df = clean.apply_caps(df, caps)
     rare = clean.fit_rare(df, clean.rare_fracs(category_columns(df)))
     df = clean.apply_rare(df, rare)

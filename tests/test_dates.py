@@ -66,3 +66,13 @@ def test_column_types(spark, tmp_path):
     assert df.orderBy("a").first().a == -3
     pinned = files.read_clean(spark, str(tmp_path), fmt="csv", types={"a": "string", "e": "int"})
     assert dict(pinned.dtypes)["a"] == "string" and [r.e for r in pinned.orderBy("a").collect()] == [None, None, 1]
+
+
+def test_format_profile_makes_the_text_once(spark):
+    """The text is an expression of some size; its layouts and numbers are tested on the finished text."""
+    df = spark.createDataFrame([("2024-01-02 03:04:05",), ("13/02/2024 10:00",), (None,), ("x",)], "t string")
+    text = F.regexp_replace(F.col("t"), "never there", "")
+    got = {(r.layout, r.clock): (r.n, r.first_over, r.second_over) for r in dates.format_profile(df, text).collect()}
+    assert got == {(-1, 0): (1, 0, 0), (3, 0): (1, 1, 0), (None, None): (2, 0, 0)}
+    plan = dates.format_profile(df, text)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("never there") == 1
