@@ -15,6 +15,7 @@ import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field, fields
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -258,8 +259,10 @@ def fit_encoder(df: DataFrame, groups: Mapping[str, list[str]] | None = None, me
     """FE7 fit: median imputer + robust scaler on the scaled block, most-frequent imputer +
     one-hot on the categorical block, most-frequent imputer on the passthrough block.
 
-    A column without any value is left out of the vector and of the names."""
+    A column without any value is left out of the vector and of the names.  The fit reads its columns some ten times and
+    ``transform`` reads the rows next, so ``df`` is persisted and stays so."""
     g = dict(groups or group_columns(df))
+    df.persist(StorageLevel.MEMORY_AND_DISK)
     quartiles = filled_quartiles(df, g["scaled"], method)  # imputer and scaler from one search
     medians = {c: v[0] for c, v in quartiles.items()}
     modes = fit_mode(df, [*g["categorical"], *g["passthrough"]])

@@ -50,3 +50,11 @@ def test_feature_table_follows_the_vector(spark):
     assert [r.position for r in enc.feature_table().orderBy("position").collect()] == [0, 1, 2, 3, 4]
     vec = enc.transform(df).where("n = 5").first().features.toArray().tolist()
     assert vec[1:] == [1.0, 0.0, 1.0, 5.0]
+
+
+def test_encoder_passes_read_persisted_rows(spark):
+    """The fit and the rows it encodes next come from one computation of the input."""
+    df = spark.createDataFrame([(float(i % 7), "ab"[i % 2], i) for i in range(50)], "booking_value double, k string, n int").withColumn("v", F.rand(3))
+    enc = encode.fit_encoder(df)
+    assert df.storageLevel.useMemory and "InMemoryTableScan" in enc.transform(df)._jdf.queryExecution().toString()
+    df.unpersist()
