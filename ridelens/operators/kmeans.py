@@ -14,6 +14,7 @@ Sparse vectors stay sparse: products and sums run over their entries alone.
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -31,9 +32,8 @@ ROUNDS = 2
 CELLS = 1 << 22
 SPARSE_BELOW = 0.2
 BATCHES = 20
-#: Numbers that are worth a task of a pass, and tasks whose sums the driver adds up without a shuffle.
+#: Numbers that are worth a task of a pass.
 PER_TASK = 1 << 19
-FEW_TASKS = 32
 
 
 # ---------------------------------------------------------------------------- rows
@@ -47,26 +47,33 @@ def entries(df: DataFrame, col: str) -> Column:
                                                    u["values"].alias("values")))
 
 
+def _compressed(column: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, int]:
+    """Values, row bounds, places (None: all rows are dense) and size of the vectors of ``entries``."""
+    values, indices = column.field("values"), column.field("indices")
+    off = values.offsets.to_numpy()
+    val = values.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
+    ptr = (off - off[0]).astype(np.int64)
+    size = np.diff(ptr)
+    d = int(column.field("size")[0].as_py()) if len(size) else 0
+    if indices.null_count == len(size):
+        return val, ptr, None, d
+    given = np.array(indices.is_valid())
+    idx = np.arange(len(val), dtype=np.int64) - np.repeat(ptr[:-1], size)
+    o = indices.offsets.to_numpy()
+    idx[np.repeat(given, size)] = indices.values.to_numpy(zero_copy_only=False)[o[0]:o[-1]]
+    return val, ptr, idx, d
+
+
 class Rows:
     """A batch of vectors in compressed rows."""
 
-    def __init__(self, column: pa.StructArray):
-        values, indices = column.field("values"), column.field("indices")
-        off = values.offsets.to_numpy()
-        self.val = values.values.to_numpy(zero_copy_only=False)[off[0]:off[-1]]
-        self.ptr = (off - off[0]).astype(np.int64)
-        size = np.diff(self.ptr)
-        self.n, self.d = len(size), int(column.field("size")[0].as_py()) if len(size) else 0
-        self.dense = indices.null_count == self.n
+    def __init__(self, val: np.ndarray, ptr: np.ndarray, idx: np.ndarray | None, d: int):
+        self.val, self.ptr, self.n, self.d, self.dense = val, ptr, len(ptr) - 1, d, idx is None
         if not self.dense:
-            given = np.array(indices.is_valid())
-            idx = np.arange(len(self.val), dtype=np.int64) - np.repeat(self.ptr[:-1], size)
-            o = indices.offsets.to_numpy()
-            idx[np.repeat(given, size)] = indices.values.to_numpy(zero_copy_only=False)[o[0]:o[-1]]
             self.idx = idx
             if len(self.val) >= SPARSE_BELOW * self.n * self.d:
                 full = np.zeros((self.n, self.d))
-                full[np.repeat(np.arange(self.n), size), idx] = self.val
+                full[np.repeat(np.arange(self.n), np.diff(ptr)), idx] = self.val
                 self.val, self.dense = full.ravel(), True
         if self.dense:
             self.full = self.val.reshape(self.n, self.d)
@@ -94,14 +101,20 @@ class Rows:
             out[:, lo:lo + step] = self._rows(centres[lo:lo + step].T[self.idx] * self.val[:, None])
         return out
 
-    def sums(self, label: np.ndarray, k: int) -> np.ndarray:
-        """Vector sums per label."""
+    def sums(self, labels: Sequence[np.ndarray], k: int) -> np.ndarray:
+        """Vector sums per label, of ``k`` in all; every row has one label of each run, and no two runs share labels."""
         if self.dense:
             one = np.zeros((k, self.n))
-            one[label, np.arange(self.n)] = 1.0
+            for label in labels:
+                one[label, np.arange(self.n)] = 1.0
             return one @ self.full
-        at = np.repeat(label, np.diff(self.ptr)) * self.d + self.idx
-        return np.bincount(at, self.val, k * self.d).reshape(k, self.d)
+        out = np.zeros(k * self.d)
+        for label in labels:
+            at = np.repeat(label, np.diff(self.ptr)) * self.d + self.idx
+            lo = int(at.min(initial=0))
+            part = np.bincount(at - lo, self.val)
+            out[lo:lo + len(part)] += part
+        return out.reshape(k, self.d)
 
     def weighted(self, weight: np.ndarray) -> np.ndarray:
         """Sum of all rows, each times its weight."""
@@ -117,17 +130,77 @@ class Rows:
         return out
 
 
-def _each(batches) -> Iterator[Rows]:
-    """Batches of at most ``CELLS`` numbers if made dense."""
-    for b in batches:
-        column, at = b.column("v"), 0
-        if not b.num_rows:
-            continue
+def _parts(column: pa.StructArray) -> Iterator[tuple]:
+    """The vectors in parts of at most ``CELLS`` numbers if made dense."""
+    if len(column):
         step = max(1, CELLS // max(1, int(column.field("size")[0].as_py())))
-        while at < b.num_rows:
+        for at in range(0, len(column), step):
             part = column.slice(at, step)
-            yield Rows(pa.StructArray.from_arrays(part.flatten(), fields=list(part.type)))
-            at += step
+            yield _compressed(pa.StructArray.from_arrays(part.flatten(), fields=list(part.type)))
+
+
+def _numbers(cell: pa.BinaryScalar, kind: type) -> np.ndarray:
+    data = cell.as_buffer()
+    return np.frombuffer(data, kind) if data.size else np.zeros(0, kind)
+
+
+def _each(batches, whole: bool = False) -> Iterator[Rows]:
+    """The vectors of batches of ``entries`` or of blocks; ``whole`` joins the blocks of different ``batch`` that came from one part."""
+    def cells(b: pa.RecordBatch) -> Iterator[tuple]:
+        for part, val, ptr, idx, d in zip(*(b.column(c) for c in ("part", "val", "ptr", "idx", "d"))):
+            yield part.as_py(), (_numbers(val, np.float64), _numbers(ptr, np.int64), _numbers(idx, np.int32) if idx.is_valid else None, d.as_py())
+
+    def found() -> Iterator[tuple]:
+        for b in batches:
+            yield from cells(b) if "v" not in b.schema.names else ((None, part) for part in _parts(b.column("v")))
+
+    if not whole:
+        yield from (Rows(*part) for _, part in found())
+        return
+    for key, same in itertools.groupby(found(), key=lambda f: f[0]):
+        if key is None:
+            yield from (Rows(*part) for _, part in same)
+            continue
+        val, ptr, idx, d = zip(*(part for _, part in same))
+        ends = np.cumsum([0, *(p[-1] for p in ptr)])
+        yield Rows(np.concatenate(val), np.concatenate([[0], *(p[1:] + e for p, e in zip(ptr, ends))]),
+                   None if idx[0] is None else np.concatenate(idx), d[0])
+
+
+_BLOCKS = "part long, batch int, val binary, ptr binary, idx binary, d int"
+
+
+def blocks(x: DataFrame) -> DataFrame:
+    """The vectors ``v`` in blocks: one row per Arrow batch (and per ``batch``, in whose order the rows of a task are, where ``x`` has
+    that column), so a pass takes whole blocks from Spark and not row by row."""
+    def run(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId() << 32
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+        for b in batches:
+            at = 0
+            for val, ptr, idx, d in _parts(b.column("v")):
+                n = len(ptr) - 1
+                group = b.column("batch").to_numpy()[at:at + n] if "batch" in b.schema.names else np.zeros(n, np.int32)
+                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1), n]
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    own = slice(ptr[lo], ptr[hi])
+                    row = [part, group[lo], val[own].tobytes(), (ptr[lo:hi + 1] - ptr[lo]).tobytes(),
+                           None if idx is None else idx[own].astype(np.int32).tobytes(), d]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["part", "batch", "val", "ptr", "idx", "d"])
+                at, part = at + n, part + 1
+
+    return x.mapInArrow(run, _BLOCKS)
+
+
+def _in_tasks(held: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """The blocks of ``size`` numbers in as many tasks as these are worth: a pass over a small input is then little more than its job."""
+    tasks = max(1, min(held.rdd.getNumPartitions(), size // PER_TASK))
+    return held.coalesce(tasks), tasks
+
+
+def _size(x: DataFrame) -> int:
+    return x.agg(F.sum("v.size")).first()[0] or 0
 
 
 _SUMS = "at int, n long, q double, cost double, s array<double>"
@@ -135,14 +208,10 @@ _PICKS = "at int, key double, v array<double>"
 
 
 def _totals(parts: DataFrame, tasks: int) -> dict[int, tuple[int, float, float, np.ndarray]]:
-    """``{at: (n, q, cost, s)}`` summed over the tasks: one row per centre, or per centre and task of a few."""
-    if tasks <= FEW_TASKS:
+    """``{at: (n, q, cost, s)}`` summed over the tasks: one row per centre reaches the driver, however many tasks there are."""
+    if tasks == 1:
         got = parts.toArrow()
-        out: dict[int, tuple] = {}
-        for at, n, q, cost, s in zip(*(got[c].to_pylist() for c in ("at", "n", "q", "cost", "s"))):
-            a = out.get(at, (0, 0.0, 0.0, 0.0))
-            out[at] = (a[0] + n, a[1] + q, a[2] + cost, a[3] + np.array(s))
-        return out
+        return {at: (n, q, cost, np.array(s)) for at, n, q, cost, s in zip(*(got[c].to_pylist() for c in ("at", "n", "q", "cost", "s")))}
     rows = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("q").alias("q"), F.sum("cost").alias("cost"),
                                    vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s")).collect()
     return {r["at"]: (r["n"], r["q"], r["cost"], np.array(r["s"])) for r in rows}
@@ -158,7 +227,7 @@ def _nearest(d2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return label, np.maximum(d2[np.arange(len(d2)), label], 0.0)
 
 
-def pass_sums(x: DataFrame, centres: Sequence[np.ndarray], tasks: int = FEW_TASKS + 1) -> list[dict]:
+def pass_sums(x: DataFrame, centres: Sequence[np.ndarray], tasks: int = 0) -> list[dict]:
     """One job: for each set of centres, per centre the number, vector sum and squared norms of its rows, and the cost."""
     sc = x.sparkSession.sparkContext
     held = sc.broadcast([np.asarray(c) for c in centres])  # runs x k x d numbers
@@ -169,18 +238,20 @@ def pass_sums(x: DataFrame, centres: Sequence[np.ndarray], tasks: int = FEW_TASK
         norm = np.einsum("ij,ij->i", every, every)
         bounds = np.append(0, np.cumsum([len(c) for c in sets]))
         for rows in _each(batches):
-            got = got or [[np.zeros(len(c), np.int64), np.zeros(len(c)), np.zeros(len(c)), np.zeros(c.shape)] for c in sets]
-            q = rows.squares()
+            got = got or [np.zeros(len(every), np.int64), np.zeros(len(every)), np.zeros(len(every)), np.zeros(every.shape)]
+            n, sq, cost, s = got
+            q, labels = rows.squares(), []
             d2 = q[:, None] - 2 * rows.dot(every) + norm
-            for (n, sq, cost, s), lo, hi in zip(got, bounds[:-1], bounds[1:]):
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
                 label, near = _nearest(d2[:, lo:hi])
-                n += np.bincount(label, minlength=hi - lo)
-                sq += np.bincount(label, q, hi - lo)
-                cost += np.bincount(label, near, hi - lo)
-                s += rows.sums(label, hi - lo)
+                n[lo:hi] += np.bincount(label, minlength=hi - lo)
+                sq[lo:hi] += np.bincount(label, q, hi - lo)
+                cost[lo:hi] += np.bincount(label, near, hi - lo)
+                labels.append(label + lo)
+            s += rows.sums(labels, len(every))
         if got:
-            yield _sums_batch([(int(lo + i), int(n[i]), float(sq[i]), float(cost[i]), s[i].tolist())
-                               for (n, sq, cost, s), lo in zip(got, bounds) for i in range(len(n)) if n[i]])
+            n, sq, cost, s = got
+            yield _sums_batch([(int(i), int(n[i]), float(sq[i]), float(cost[i]), s[i].tolist()) for i in np.flatnonzero(n)])
 
     found = _totals(x.mapInArrow(run, _SUMS), tasks)
     held.unpersist()
@@ -206,7 +277,7 @@ def _pick(x: DataFrame, sets: Sequence[np.ndarray | None], buckets: int, seed: S
         part = TaskContext.get().partitionId()
         draws = [np.random.Generator(np.random.PCG64([*seed, s, part])) for s in range(len(held.value))]
         best: dict[int, tuple[float, list]] = {}
-        for rows in _each(batches):
+        for rows in _each(batches, whole=True):
             q = rows.squares()
             for s, have in enumerate(held.value):
                 weight = np.ones(rows.n)
@@ -216,9 +287,10 @@ def _pick(x: DataFrame, sets: Sequence[np.ndarray | None], buckets: int, seed: S
                 u, bucket = draws[s].random(rows.n), draws[s].integers(0, buckets, rows.n)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     key = np.where(weight > 0, np.log(u) / weight, -np.inf)
-                order = np.lexsort((key, bucket))
-                last = np.flatnonzero(np.append(bucket[order][1:] != bucket[order][:-1], True))
-                for i in order[last]:
+                top = np.full(buckets, -np.inf)
+                np.maximum.at(top, bucket, key)
+                first = {int(bucket[i]): i for i in np.flatnonzero(key == top[bucket]) if key[i] > -np.inf}
+                for i in first.values():
                     at = s * buckets + int(bucket[i])
                     if key[i] > -np.inf and (at not in best or key[i] > best[at][0]):
                         best[at] = (float(key[i]), rows.row(i).tolist())
@@ -253,8 +325,10 @@ def _plus_plus(points: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Ge
     return centres
 
 
-def starting_centres(x: DataFrame, ks: Sequence[int], n_init: int, seed: int, tasks: int = FEW_TASKS + 1) -> dict[tuple[int, int], np.ndarray]:
-    """``{(start, k): centres}`` in ``ROUNDS + 2`` jobs; empty without rows."""
+def starting_centres(x: DataFrame, ks: Sequence[int], n_init: int, seed: int, tasks: int = 0) -> dict[tuple[int, int], np.ndarray]:
+    """``{(start, k): centres}`` of vectors ``v``, or of their blocks in ``tasks`` tasks, in ``ROUNDS + 2`` jobs; empty without rows."""
+    if "v" in x.columns:
+        x, tasks = _in_tasks(blocks(x), _size(x))
     sets = _pick(x, [None] * n_init, 1, [seed, 0])
     if not all(len(s) for s in sets):
         return {}
@@ -339,19 +413,18 @@ def fit_all(x: DataFrame, ks: Sequence[int], features: str = "features", seed: i
     if batches:
         # rows of a batch lie together, so a pass over one skips the cached blocks of the others
         rows = rows.withColumn("batch", F.floor(F.rand(seed) * batches).cast("int")).sortWithinPartitions("batch")
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    held = blocks(rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        size = rows.agg(F.sum("v.size")).first()[0] or 0
-        tasks = max(1, min(rows.rdd.getNumPartitions(), size // PER_TASK))
-        some = rows.coalesce(tasks)  # small inputs in few tasks: a pass is then little more than its job
-        centres = starting_centres(some.select("v"), ks, n_init, seed, tasks)
+        ends = held.agg(F.sum(F.col("d") * (F.octet_length("ptr") / 8 - 1)).cast("long")).first()[0] or 0
+        some, tasks = _in_tasks(held, ends)
+        centres = starting_centres(some, ks, n_init, seed, tasks)
         if not centres:
             return {}
         runs = list(centres)
         if batches:
             used, seen = batches, {r: np.zeros(len(centres[r])) for r in runs}
             for b in range(batches):
-                for r, p in zip(runs, pass_sums(some.where(F.col("batch") == b).select("v"), [centres[r] for r in runs], tasks)):
+                for r, p in zip(runs, pass_sums(some.where(F.col("batch") == b), [centres[r] for r in runs], tasks)):
                     seen[r] += p["n"]
                     got = p["n"] > 0
                     centres[r] = centres[r].copy()
@@ -361,7 +434,7 @@ def fit_all(x: DataFrame, ks: Sequence[int], features: str = "features", seed: i
             done, limit = {}, None
             for i in range(max_iter):
                 active = [r for r in runs if r not in done]
-                for r, p in zip(active, pass_sums(some.select("v"), [centres[r] for r in active], tasks)):
+                for r, p in zip(active, pass_sums(some, [centres[r] for r in active], tasks)):
                     if limit is None:
                         n, mean = p["n"].sum(), p["s"].sum(0) / p["n"].sum()
                         limit = tol * max(0.0, p["q"].sum() / n - float(mean @ mean)) / len(mean)
@@ -372,9 +445,9 @@ def fit_all(x: DataFrame, ks: Sequence[int], features: str = "features", seed: i
                         done[r] = i + 1
                 if len(done) == len(runs):
                     break
-        final = dict(zip(runs, pass_sums(some.select("v"), [centres[r] for r in runs], tasks)))
+        final = dict(zip(runs, pass_sums(some, [centres[r] for r in runs], tasks)))
     finally:
-        rows.unpersist()
+        held.unpersist()
     best = {k: min((r for r in runs if r[1] == k), key=lambda r: (final[r]["cost"], r[0])) for k in ks}
     return {k: KMeansFit(k, centres[r], float(final[r]["cost"]), r[0], done[r], final[r]) for k, r in best.items()}
 

@@ -16,11 +16,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelens.operators.kmeans import FEW_TASKS, PER_TASK, _each, entries
+from ridelens.operators.kmeans import PER_TASK, _each, entries
 
 BLOCK = 12
 PASSES = 40
 TOL = 1e-10
+#: Tasks whose sums the driver adds up without a shuffle.
+FEW_TASKS = 32
 
 
 def _products(x: DataFrame, v: np.ndarray | None, tasks: int) -> tuple[int, np.ndarray]:

@@ -115,3 +115,36 @@ def test_saved_customer_model_places_the_same_customers(spark, tmp_path):
     x = segment.customer_vectors(customers.customer_features(trips), again.prepare)
     placed = segment.renumber_by_size(again.transform(x), "_pred", "s")
     assert placed.join(out, "customer_id").where("s <> customer_segment").count() == 0
+
+
+def test_sums_reach_the_driver_once_per_centre(blobs, monkeypatch):
+    """However few tasks there are, their sums are added up before they are collected."""
+    x, df = blobs
+    rows = df.select(kmeans.entries(df, "features").alias("v"))
+    want = kmeans.pass_sums(rows.coalesce(1), [x[:3], x[5:9]], 1)
+    monkeypatch.setattr(type(df), "toArrow", lambda self: pytest.fail("the sums of each task are sent to the driver"))
+    for p, q in zip(kmeans.pass_sums(rows, [x[:3], x[5:9]], 5), want):
+        assert p["n"].tolist() == q["n"].tolist() and np.allclose(p["s"], q["s"]) and p["cost"] == pytest.approx(q["cost"])
+
+
+def test_blocks_hold_the_vectors(spark):
+    """A pass over blocks, also of several mini-batches, finds what one over the rows finds."""
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random((300, 50)) < 0.05, rng.normal(size=(300, 50)), 0.0)
+    df = spark.createDataFrame([(Vectors.sparse(50, {int(j): float(r[j]) for j in np.flatnonzero(r)}),) for r in x], ["features"]).coalesce(1)
+    rows = df.select(kmeans.entries(df, "features").alias("v"), (F.monotonically_increasing_id() / 100).cast("int").alias("batch"))
+    held = kmeans.blocks(rows).persist()
+    assert held.count() == 3 and {r.batch for r in held.collect()} == {0, 1, 2}
+    a, b = kmeans.pass_sums(held, [x[:4]], 1)[0], kmeans.pass_sums(rows, [x[:4]], 1)[0]
+    assert a["n"].tolist() == b["n"].tolist() and np.allclose(a["s"], b["s"]) and a["cost"] == pytest.approx(b["cost"])
+    assert kmeans.pass_sums(held.where("batch = 1"), [x[:4]], 1)[0]["n"].sum() == 100
+    whole = next(kmeans._each(held.toArrow().combine_chunks().to_batches(), whole=True))
+    assert whole.n == 300 and np.allclose(np.stack([whole.row(i) for i in range(300)]), x)
+
+
+def test_sizes_of_the_fit_number_the_segments(blobs):
+    _, df = blobs
+    fit = kmeans.fit_all(df, [4], n_init=2)[4]
+    placed = fit.transform(df)
+    a = segment.renumber_by_size(placed, "_pred", "s").collect()
+    assert a == segment.renumber_by_size(placed, "_pred", "s", fit.stats["n"]).collect()
