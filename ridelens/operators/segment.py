@@ -115,11 +115,15 @@ def fit_kmeans(x: DataFrame, k: int, features: str = "features", seed: int = 42,
     return fit_all(x, [k], features, seed, n_init, max_iter, tol)[k]
 
 
-def renumber_by_size(labelled: DataFrame, pred: str, out: str) -> DataFrame:
-    """Largest segment -> 0, then by size (ties by old id).  Only k sizes come back."""
-    sizes = labelled.groupBy(pred).agg(F.count(F.lit(1)).alias("n")).collect()
-    order = sorted(sizes, key=lambda r: (-r["n"], r[pred]))
-    mapping = F.create_map(*[x for new, r in enumerate(order) for x in (F.lit(r[pred]), F.lit(new))])
+def renumber_by_size(labelled: DataFrame, pred: str, out: str, sizes: Sequence[int] | None = None) -> DataFrame:
+    """Largest segment -> 0, then by size (ties by old id).  Only k sizes come back; ``sizes`` of the old ids, where the fit of these
+    very rows has counted them, spare the pass."""
+    if sizes is None:
+        found = {r[pred]: r["n"] for r in labelled.groupBy(pred).agg(F.count(F.lit(1)).alias("n")).collect()}
+    else:
+        found = {i: int(n) for i, n in enumerate(sizes)}
+    order = sorted(found, key=lambda p: (-found[p], p))
+    mapping = F.create_map(*[x for new, p in enumerate(order) for x in (F.lit(p), F.lit(new))])
     return labelled.withColumn(out, mapping[F.col(pred)].cast("int")).drop(pred)
 
 
@@ -159,7 +163,7 @@ def segment_trips(df: DataFrame, k: int = 3, completed_only: bool = False, min_v
     enc = encoder or encode.fit_encoder(df)
     x = enc.transform(rows)
     model = fit_kmeans(x, k, seed=seed, n_init=n_init)  # holds the vectors as long as it reads them
-    labelled = renumber_by_size(model.transform(x), "_pred", "trip_segment")
+    labelled = renumber_by_size(model.transform(x), "_pred", "trip_segment", model.stats["n"])
     return labelled, model, enc
 
 
