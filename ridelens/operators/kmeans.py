@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -174,8 +175,7 @@ def blocks(x: DataFrame) -> DataFrame:
     """The vectors ``v`` in blocks: one row per Arrow batch (and per ``batch``, in whose order the rows of a task are, where ``x`` has
     that column), so a pass takes whole blocks from Spark and not row by row."""
     def run(batches):
-        from pyspark import TaskContext
-        part = TaskContext.get().partitionId() << 32
+        part = uuid.uuid4().int >> 66  # a task may run several partitions, whose parts must differ
         kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
         for b in batches:
             at = 0
