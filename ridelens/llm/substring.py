@@ -61,9 +61,45 @@ def anchored_windows(words: np.ndarray, offsets: np.ndarray, length: int, seed:
     return valid[at], np.diff(np.append(at, len(valid))), least[at], runs(words, length)[valid]
 
 
+class _Settled:
+    """The first occurrence ``(doc, start)`` of each group of equal windows that a task has met, as sorted arrays (24 bytes each)."""
+
+    LIMIT = 1 << 20
+
+    def __init__(self):
+        self.group, self.doc, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def later(self, group: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of these occurrences come after another of their group, here or met before; takes them in."""
+        order = np.lexsort((at, doc, group))
+        g, d, s = group[order], doc[order], at[order]
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        keys, first_doc, first_at = g[new], d[new], s[new]
+        place = np.searchsorted(self.group, keys)
+        have = place < len(self.group)
+        have[have] = self.group[place[have]] == keys[have]
+        met = place[have]
+        old_doc, old_at = self.doc[met], self.at[met]
+        before = (old_doc < first_doc[have]) | ((old_doc == first_doc[have]) & (old_at < first_at[have]))
+        first_doc[have] = np.where(before, old_doc, first_doc[have])
+        first_at[have] = np.where(before, old_at, first_at[have])
+        self.doc[met], self.at[met] = first_doc[have], first_at[have]
+        out = np.zeros(len(g), bool)
+        nth = np.cumsum(new) - 1
+        out[order] = (d != first_doc[nth]) | (s != first_at[nth])
+        if len(self.group) > self.LIMIT:  # bounded memory: whatever is not settled here is settled by its anchor
+            self.__init__()
+            place = np.zeros(len(keys), np.int64)
+            have[:] = False
+        self.group, self.doc, self.at = (np.insert(x, place[~have], y[~have]) for x, y in (
+            (self.group, keys), (self.doc, first_doc), (self.at, first_at)))
+        return out
+
+
 def _occurrences(length: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        seen: dict[int, tuple[int, int]] = {}
+        settled = _Settled()
         for part in pieces(batches, size=PART):
             words, offsets = word_hashes(part.column("text"))
             start, count, anchor, hashes = anchored_windows(words, offsets, length, seed)
@@ -75,15 +111,7 @@ def _occurrences(length: int, seed: int):
             at = start - offsets[row]
             first = np.cumsum(count) - count
             group = mix(np.add.reduceat(hashes * np.uint64(0x9E3779B97F4A7C15), first) + anchor * np.uint64(3) + count.astype(np.uint64))
-            known = np.zeros(len(start), bool)
-            for i, (g, d, s) in enumerate(zip(group.tolist(), doc.tolist(), at.tolist())):
-                have = seen.get(g)
-                if have is None or (d, s) < have:
-                    seen[g] = (d, s)
-                elif (d, s) > have:
-                    known[i] = True
-            if len(seen) > 1 << 20:  # bounded memory: whatever is not settled here is settled by its anchor
-                seen = {}
+            known = settled.later(group, doc, at)
             # what is settled needs no meeting, so it is spread over all partitions
             anchor = np.where(known, mix(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)), anchor)
             short = np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8)[:, :WIN_BYTES]
@@ -166,21 +194,25 @@ def repeated_passages(docs: DataFrame, length: int = 20, seed: int = 8) -> DataF
 
 
 def _maximal(length: int):
-    kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-
     def run(batches):
         for b in batches:
-            out = []
-            for found in b.column("found").to_pylist():
-                spans: list = []
-                for s, n in sorted((f["start"], f["windows"]) for f in found):
-                    end = s + n + length - 2
-                    if spans and s <= spans[-1]["last"] + 1:
-                        spans[-1]["last"] = max(spans[-1]["last"], end)
-                    else:
-                        spans.append({"first": s, "last": end})
-                out.append(spans)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(out, kind)],
+            found = b.column("found")
+            rows = found.flatten()
+            sizes = np.diff(found.offsets.to_numpy())
+            owner = np.repeat(np.arange(len(found)), sizes)
+            start, windows = (rows.field(c).to_numpy() for c in ("start", "windows"))
+            order = np.lexsort((start, owner))
+            first, last = start[order], (start + windows + length - 2)[order]
+            # each document's words behind those of the documents before it, so that one running maximum serves all
+            base = owner * (int(last.max(initial=0)) + 3)
+            reach = np.maximum.accumulate(last + base)
+            new = np.ones(len(order), bool)
+            new[1:] = (first + base)[1:] > reach[:-1] + 1
+            at = np.flatnonzero(new)
+            end = np.append(at, len(order))[1:] - 1
+            spans = pa.StructArray.from_arrays([pa.array(first[at]), pa.array(reach[end] - base[end])], ["first", "last"])
+            offsets = np.searchsorted(owner[at], np.arange(len(found) + 1))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)],
                                              names=["doc_id", "text_key", "spans"])
     return run
 
@@ -212,6 +244,13 @@ def _cut(batches: Iterator[pa.RecordBatch]):
              pa.array([hashlib.sha256(k).hexdigest() for k in kept])], names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
 
 
+def _untouched(bits):
+    """The documents without repeats, cut in the same step: one Python worker a task holds them, not two."""
+    def run(batches):
+        return _cut(_touched(bits, False)(batches))
+    return run
+
+
 def substring_dedup(docs: DataFrame, length: int = 20, seed: int = 8) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text, kept_sha256``, one row per row of ``docs``
     (``doc_id, text``).
@@ -228,7 +267,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, seed: int = 8) -> DataFra
     bits = membership(spans, F.col("doc_id"))
     ddl = "doc_id long, text string, text_key int"
     out = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    rest = keyed.mapInArrow(_touched(bits, False), ddl).select("doc_id", "text").mapInArrow(_cut, out)
+    rest = keyed.mapInArrow(_untouched(bits), out)
     some = keyed.mapInArrow(_touched(bits, True), ddl).join(spans, ["doc_id", "text_key"], "left").select(
         "doc_id", "text", "spans").mapInArrow(_cut, out)
     return rest.unionByName(some).withColumn("doc_id", F.nullif("doc_id", F.lit(int(NULL_ID))))
